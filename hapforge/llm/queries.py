@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hapforge.llm import exact_dedup, fingerprints, mixing, packing
+from hapforge.llm import exact_dedup, fingerprints, mixing, near_dup, packing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -76,11 +76,26 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.draw(_table(spark, sf_dir, "documents"), **MIX)
 
 
+@_query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @_query("op4_fingerprints")
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_sensitivity(_table(spark, sf_dir, "documents"))
 
 
+@_query("op5_near_dup")
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+@_query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @_query(
     "op9_exact_dedup",
     """
