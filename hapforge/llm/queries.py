@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hapforge.llm import exact_dedup, fingerprints, mixing, near_dup, packing, quality, toxicity
+from hapforge.llm import exact_dedup, fingerprints, masked_lm, mixing, near_dup, packing, preferences, quality, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -76,6 +77,17 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.draw(_table(spark, sf_dir, "documents"), **MIX)
 
 
+RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+
+@_query("op2_url_filter")
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels")
+    marked = labels.select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
+    labelled = pages.select("page_id", "url").join(marked, "page_id").select("url", "bad")
+    return url_rules.judge_urls(pages, labelled, RULES)
+
+
 @_query("op3_quality")
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -91,11 +103,45 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+@_query("op6_masked_lm")
+def op6_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.masked_lm_scores(_table(spark, sf_dir, "documents"))
+
+
 @_query("op7_toxicity")
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+@_query(
+    "op8_preferences",
+    """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
+l AS (SELECT conv_id, coalesce(MAX(CASE WHEN role = 'assistant' THEN i END), 0) AS last FROM n GROUP BY conv_id),
+a AS (SELECT n.conv_id, n.role, n.text FROM n JOIN l ON n.conv_id = l.conv_id AND n.i = l.last),
+h AS (
+  SELECT l.conv_id, l.last, coalesce(string_agg('<|' || n.role || '|>' || chr(10) || n.text || '<|end|>' || chr(10), '' ORDER BY n.i), '') AS head
+  FROM l LEFT JOIN n ON n.conv_id = l.conv_id AND n.i < l.last GROUP BY l.conv_id, l.last),
+p AS (
+  SELECT h.conv_id, h.last, h.head, x.text AS own, y.text AS other, x.text IS NOT NULL AND y.text IS NOT NULL AND x.text = y.text AS same
+  FROM h LEFT JOIN a x ON x.conv_id = h.conv_id LEFT JOIN a y ON y.conv_id = xor(h.conv_id, 1))
+SELECT conv_id, CAST(CASE WHEN last = 0 THEN 0 WHEN same THEN last ELSE last - 1 END AS BIGINT) AS n_prompt_turns,
+  head || CASE WHEN same THEN '<|assistant|>' || chr(10) || own || '<|end|>' || chr(10) ELSE '' END AS prompt,
+  CASE WHEN own IS NULL OR same THEN '' ELSE '<|assistant|>' || chr(10) || own || '<|end|>' || chr(10) END AS chosen_completion,
+  CASE WHEN own IS NULL OR other IS NULL OR same THEN '' ELSE '<|assistant|>' || chr(10) || other || '<|end|>' || chr(10) END AS rejected_completion,
+  CASE WHEN own IS NULL OR same THEN '' ELSE '14-' || CAST(length(own) + 22 AS VARCHAR) END AS chosen_mask,
+  CASE WHEN own IS NULL OR other IS NULL OR same THEN '' ELSE '14-' || CAST(length(other) + 22 AS VARCHAR) END AS rejected_mask
+FROM p
+""",
+)
+def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = preferences.preference_rows(_table(spark, sf_dir, "conversations"))
+    for side in ("chosen_mask", "rejected_mask"):
+        out = out.withColumn(side, F.array_join(F.transform(side, lambda s: F.concat(s.start.cast("string"), F.lit("-"), s.end.cast("string"))), ","))
+    return out
+
+
 @_query(
     "op9_exact_dedup",
     """
