@@ -207,7 +207,7 @@ def ranked(pieces: DataFrame) -> tuple[DataFrame, list[tuple[int, int, int, int]
 def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     """``pieces`` with sequence_id and offset."""
     spark = pieces.sparkSession
-    written, runs = ranked(pieces)
+    written, runs = ranked(materialize(pieces, "cut"))  # the range sort reads its input twice
     counts: dict[int, int] = {}
     shift: dict[tuple[int, int], int] = {}
     for part, length, first, n in runs:
