@@ -11,8 +11,10 @@ Equal shingle sets are one *node*. No bucket is ever expanded into all its pairs
 1. in each bucket every node is compared with the bucket's least node, on the full sets;
 2. the links found give components;
 3. only buckets that hold several components are looked at again, and there the nodes outside the
-   bucket's largest component meet the nodes of other components, less those pairs that sizes or
-   the triangle inequality of the Jaccard distance (through the least node) rule out.
+   bucket's largest component meet the nodes of other components, less what can't be linked: by the
+   sizes, by the triangle inequality of the Jaccard distance (through the least node), or by the
+   shingles that no other node of such buckets has, which no intersection can hold. The last also
+   rules out whole nodes: of a large group around one text, those that drifted too far from all.
 
 After that every pair of the same bucket is in one component, compared, or provably too different,
 so no link between components is lost. Every comparison counts the intersection of whole sets.
@@ -216,17 +218,23 @@ class _Judge:
     def __init__(self, docs: DataFrame, classes: DataFrame, k: int, percent: int, seed: int):
         self.docs, self.classes, self.k, self.percent, self.seed = docs, classes, k, percent, seed
 
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, shingles) of the given nodes, from the text of each one's least document."""
         ids = materialize(self.classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("__rep")).distinct(), "candidates")
         n = ids.count()
         ids = F.broadcast(ids) if n <= BROADCAST_ROWS else ids
         texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__rep")), "left_semi").select("text")
         return materialize(sets_of(texts, self.k, self.seed).dropDuplicates(["node"]), "sets")
 
-    def compare(self, pairs: DataFrame, name: str) -> DataFrame:
+    def alone(self, sets: DataFrame) -> DataFrame:
+        """(node, alone): how many of a node's shingles no other node in ``sets`` has."""
+        held = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node"))
+        return held.where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+
+    def compare(self, pairs: DataFrame, name: str, sets: DataFrame | None = None) -> DataFrame:
         """(x, y, both, either) of each pair (x, y)."""
-        sets = self.sets(pairs)
+        if sets is None:
+            sets = self.sets(pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct())
         xs = sets.select(F.col("node").alias("x"), F.col("shingles").alias("xs"))
         ys = sets.select(F.col("node").alias("y"), F.col("shingles").alias("ys"))
         met = pairs.select("x", "y").join(xs, "x").join(ys, "y").withColumn("both", F.size(F.array_intersect("xs", "ys")).cast("long"))
@@ -265,12 +273,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = held.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", F.col("m.comp").alias("main"))
     mixed = materialize(placed.join(main, "key"), "mixed")
-    outer = mixed.where("comp <> main").select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "comp", "far")])
+    sets = judge.sets(mixed.select("node").distinct())
+    # ``shared`` bounds every intersection of a node; ``least_n`` is the smallest set of the bucket.
+    smallest = mixed.groupBy("key").agg(F.min("n").alias("least_n"))
+    mixed = mixed.join(judge.alone(sets), "node", "left").join(smallest, "key").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
+    possible = F.col("shared") * 100 >= (F.col("n") + F.greatest("least_n", "shared") - F.col("shared")) * percent
+    mixed = materialize(mixed.where(possible).select("key", "node", "n", "comp", "far", "main", "shared"), "possible")
+    outer = mixed.where("comp <> main").select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "comp", "far", "shared")])
     room = F.lit(1 - percent / 100 + 1e-9)
+    most = F.least("shared", "shared2")
     cross = mixed.join(outer, "key").where(
         (F.col("comp") != F.col("comp2"))
         & ((F.col("comp") == F.col("main")) | (F.col("node") < F.col("node2")))
         & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
+        & (most * 100 >= (F.col("n") + F.col("n2") - most) * percent)
         & F.coalesce(F.abs(F.col("far") - F.col("far2")) <= room, F.lit(True))
     )
     cross = cross.select(F.least("node", "node2").alias("x"), F.greatest("node", "node2").alias("y")).distinct()
@@ -280,7 +296,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if cross.isEmpty():
         comps = first
     else:
-        more = judge.links(judge.compare(cross, "judged-more"))
+        more = judge.links(judge.compare(cross, "judged-more", sets))
         comps = first if more.isEmpty() else components(links.union(more), "second")
 
     named = classes.join(comps, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
