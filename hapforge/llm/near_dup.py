@@ -196,19 +196,26 @@ def sets_of(docs: DataFrame, k: int, seed: int) -> DataFrame:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, comp): the least node reachable over ``edges`` (x, y), for nodes that have an edge.
 
-    Each round takes the least label among a node and its neighbours, then jumps to the label's own
-    label; every round is written, so lineage stays short.
+    Each round points every node at the least of itself and its neighbours, follows the pointers
+    twice more, and contracts the edges to what they point at. At least half of the nodes that still
+    have edges go in a round, and so do all edges inside what has merged. Every round is written.
     """
-    both = materialize(edges.select("x", "y").union(edges.select(F.col("y"), F.col("x"))).distinct(), f"{name}-edges")
-    labels = materialize(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("comp")), name)
+    ordered = lambda df, x, y: df.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).where("x < y").distinct()
+    edges = materialize(ordered(edges, "x", "y"), f"{name}-edges")
+    labels = None
     while True:
-        near = both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("comp").alias("m"))
-        hooked = labels.join(near, labels.node == near.x).select("node", "comp", F.least("comp", "m").alias("low"))
-        own = labels.select(F.col("node").alias("root"), F.col("comp").alias("up"))
-        stepped = hooked.join(own, hooked.low == own.root, "left").select("node", F.least("low", F.coalesce("up", "low")).alias("comp"), "comp").toDF("node", "comp", "was")
-        stepped = materialize(stepped, name)
-        labels = stepped.select("node", "comp")
-        if stepped.where("comp < was").isEmpty():
+        low = edges.union(edges.select("y", "x")).groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("up"))
+        low = materialize(low, name)
+        for _ in range(2):
+            low = low.join(low.select(F.col("node").alias("at"), F.col("up").alias("top")), F.col("up") == F.col("at")).select("node", F.col("top").alias("up"))
+        low = materialize(low, name)
+        if labels is None:
+            labels = low.withColumnRenamed("up", "comp")
+        else:
+            labels = materialize(labels.join(low.withColumnRenamed("node", "was"), F.col("comp") == F.col("was"), "left").select("node", F.coalesce("up", "comp").alias("comp")), name)
+        x, y = low.select(F.col("node").alias("x"), F.col("up").alias("x_up")), low.select(F.col("node").alias("y"), F.col("up").alias("y_up"))
+        edges = materialize(ordered(edges.join(x, "x").join(y, "y"), "x_up", "y_up"), f"{name}-edges")
+        if edges.isEmpty():
             return labels
 
 
@@ -292,14 +299,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cross = cross.select(F.least("node", "node2").alias("x"), F.greatest("node", "node2").alias("y")).distinct()
     known = judged.select(F.greatest("x", "y").alias("y"), F.least("x", "y").alias("x"))
     cross = materialize(cross.join(known, ["x", "y"], "left_anti"), "cross")
-    links = judge.links(judged)
-    if cross.isEmpty():
-        comps = first
-    else:
-        more = judge.links(judge.compare(cross, "judged-more", sets))
-        comps = first if more.isEmpty() else components(links.union(more), "second")
-
-    named = classes.join(comps, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
+    more = None if cross.isEmpty() else judge.links(judge.compare(cross, "judged-more", sets))
+
+    named = classes.join(first, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
+    if more is not None:
+        # Only the new links, between components, are left to follow.
+        side = lambda c: first.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+        between = more.join(side("x"), "x", "left").join(side("y"), "y", "left").select(F.coalesce("x_comp", "x").alias("x"), F.coalesce("y_comp", "y").alias("y"))
+        second = components(between, "second").withColumnRenamed("node", "__node").withColumnRenamed("comp", "__comp")
+        named = named.join(second, F.col("comp") == F.col("__node"), "left").select("node", "rep", F.coalesce("__comp", "comp").alias("comp"))
     lowest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     final = named.join(lowest, "comp").select("node", "component_id")
     out = signed.select("doc_id", "n_shingles", "node").join(final, "node", "left")
