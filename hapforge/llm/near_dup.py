@@ -9,12 +9,14 @@ a probability under ``MISS``.
 Equal shingle sets are one *node*. No bucket is ever expanded into all its pairs:
 
 1. in each bucket every node is compared with the bucket's least node, on the full sets;
-2. the links found give components;
-3. only buckets that hold several components are looked at again, and there the nodes outside the
-   bucket's largest component meet the nodes of other components, less what can't be linked: by the
-   sizes, by the triangle inequality of the Jaccard distance (through the least node), or by the
-   shingles that no other node of such buckets has, which no intersection can hold. The last also
-   rules out whole nodes: of a large group around one text, those that drifted too far from all.
+2. the links found give components, and only buckets that hold several of them are looked at again.
+   There shingles that no other node of such buckets has bound every intersection, which rules out
+   whole nodes: of a large group around one text, those that drifted too far from all others;
+3. in each such bucket the nodes left are compared with the one that has the fewest shingles of its
+   own, the most central, and components are merged by the links found;
+4. in buckets that still hold several components, the nodes outside the largest one meet the nodes
+   of other components, less what can't be linked: by the sizes, by the triangle inequality of the
+   Jaccard distance (through the least node), or by the bounds of step 2.
 
 After that every pair of the same bucket is in one component, compared, or provably too different,
 so no link between components is lost. Every comparison counts the intersection of whole sets.
@@ -219,6 +221,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return labels
 
 
+def merged(comps: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``comps`` (node, comp) with further links followed; only links between components are left to follow."""
+    side = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+    between = links.join(side("x"), "x", "left").join(side("y"), "y", "left").select(F.coalesce("x_comp", "x").alias("x"), F.coalesce("y_comp", "y").alias("y"))
+    tops = components(between, name)
+    moved = comps.join(tops.select(F.col("node").alias("was"), F.col("comp").alias("top")), F.col("comp") == F.col("was"), "left")
+    fresh = tops.join(comps.select("node"), "node", "left_anti")
+    return materialize(moved.select("node", F.coalesce("top", "comp").alias("comp")).unionByName(fresh), name)
+
+
 class _Judge:
     """Compares pairs of nodes on their full sets."""
 
@@ -277,37 +289,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.join(far, ["node", "lead"], "left").join(first, "node", "left")
     placed = placed.select("key", "node", "n", F.coalesce("comp", "node").alias("comp"), F.when(F.col("node") == F.col("lead"), 0.0).otherwise(F.col("far")).alias("far"))
     placed = materialize(placed, "placed")
-    held = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = held.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", F.col("m.comp").alias("main"))
-    mixed = materialize(placed.join(main, "key"), "mixed")
+    several = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("least_n")).where("c0 <> c1").select("key", "least_n")
+    mixed = materialize(placed.join(several, "key"), "mixed")
     sets = judge.sets(mixed.select("node").distinct())
     # ``shared`` bounds every intersection of a node; ``least_n`` is the smallest set of the bucket.
-    smallest = mixed.groupBy("key").agg(F.min("n").alias("least_n"))
-    mixed = mixed.join(judge.alone(sets), "node", "left").join(smallest, "key").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
+    mixed = mixed.join(judge.alone(sets), "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
     possible = F.col("shared") * 100 >= (F.col("n") + F.greatest("least_n", "shared") - F.col("shared")) * percent
-    mixed = materialize(mixed.where(possible).select("key", "node", "n", "comp", "far", "main", "shared"), "possible")
+    mixed = materialize(mixed.where(possible).select("key", "node", "n", "comp", "far", "shared"), "possible")
+    most = F.least("shared", "shared2")
+    fitting = (F.col("comp") != F.col("comp2")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (most * 100 >= (F.col("n") + F.col("n2") - most) * percent)
+    in_order = (F.least("node", "node2").alias("x"), F.greatest("node", "node2").alias("y"))
+
+    central = mixed.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("shared")).alias("alone"), "node", "n", "comp", "shared")).alias("hub"))
+    central = central.select("key", *[F.col(f"hub.{c}").alias(f"{c}2") for c in ("node", "n", "comp", "shared")])
+    known = judged.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    spokes = mixed.join(central, "key").where(fitting).select(*in_order).distinct()
+    spokes = judge.compare(materialize(spokes.join(known, ["x", "y"], "left_anti"), "spokes"), "judged-spokes", sets)
+    known = known.unionByName(spokes.select("x", "y"))
+    comps = merged(first, judge.links(spokes), "second")
+
+    mixed = mixed.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    held = mixed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = held.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", F.col("m.comp").alias("main"))
+    mixed = materialize(mixed.join(main, "key"), "apart")
     outer = mixed.where("comp <> main").select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "comp", "far", "shared")])
     room = F.lit(1 - percent / 100 + 1e-9)
-    most = F.least("shared", "shared2")
     cross = mixed.join(outer, "key").where(
-        (F.col("comp") != F.col("comp2"))
-        & ((F.col("comp") == F.col("main")) | (F.col("node") < F.col("node2")))
-        & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
-        & (most * 100 >= (F.col("n") + F.col("n2") - most) * percent)
-        & F.coalesce(F.abs(F.col("far") - F.col("far2")) <= room, F.lit(True))
+        fitting & ((F.col("comp") == F.col("main")) | (F.col("node") < F.col("node2"))) & F.coalesce(F.abs(F.col("far") - F.col("far2")) <= room, F.lit(True))
     )
-    cross = cross.select(F.least("node", "node2").alias("x"), F.greatest("node", "node2").alias("y")).distinct()
-    known = judged.select(F.greatest("x", "y").alias("y"), F.least("x", "y").alias("x"))
-    cross = materialize(cross.join(known, ["x", "y"], "left_anti"), "cross")
-    more = None if cross.isEmpty() else judge.links(judge.compare(cross, "judged-more", sets))
-
-    named = classes.join(first, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
-    if more is not None:
-        # Only the new links, between components, are left to follow.
-        side = lambda c: first.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
-        between = more.join(side("x"), "x", "left").join(side("y"), "y", "left").select(F.coalesce("x_comp", "x").alias("x"), F.coalesce("y_comp", "y").alias("y"))
-        second = components(between, "second").withColumnRenamed("node", "__node").withColumnRenamed("comp", "__comp")
-        named = named.join(second, F.col("comp") == F.col("__node"), "left").select("node", "rep", F.coalesce("__comp", "comp").alias("comp"))
+    cross = materialize(cross.select(*in_order).distinct().join(known, ["x", "y"], "left_anti"), "cross")
+    if not cross.isEmpty():
+        comps = merged(comps, judge.links(judge.compare(cross, "judged-more", sets)), "third")
+
+    named = classes.join(comps, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     lowest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     final = named.join(lowest, "comp").select("node", "component_id")
     out = signed.select("doc_id", "n_shingles", "node").join(final, "node", "left")
