@@ -38,7 +38,7 @@ def step0(spark: SparkSession, vcfs: list[tuple[str, str]], out: str, size: int
     def make() -> DataFrame:
         jobs = None
         for chrom, path in vcfs:
-            pos = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != "")).select(F.split("value", "\t")[1].cast("long").alias("pos"))
+            pos = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != "")).select(F.get(F.split("value", "\t"), F.lit(1)).try_cast("long").alias("pos"))
             extent = pos.agg(F.min("pos").alias("start"), F.max("pos").alias("end")).where("start IS NOT NULL").withColumn("chrom", F.lit(chrom))
             rows = region_partitions(extent, size).withColumn("vcf_path", F.lit(path))
             jobs = rows if jobs is None else jobs.unionByName(rows)

@@ -71,8 +71,8 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sex(spark: SparkSession, path: str) -> DataFrame:
     """(row, sex): one whole number a line in the order of individuals, 1 male and 0 female. One small file, read whole to keep its order."""
-    text = spark.read.option("wholetext", True).text(path)
-    return text.select(F.posexplode(F.split(F.trim("value"), r"\s+")).alias("row", "sex")).select("row", F.col("sex").cast("int").alias("sex"))
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.posexplode(F.filter(F.split("value", r"\s+"), lambda x: x != "")).alias("row", "sex")).select("row", F.col("sex").cast("int").alias("sex"))
 
 
 def read_vcf(
@@ -94,7 +94,7 @@ def read_vcf(
         raise ValueError("none of the samples is in the VCF")
     f = F.split("value", "\t")
     rows = lines.where(~F.col("value").startswith("#")).select(
-        f[0].alias("chrom"), f[1].cast("int").alias("pos"), f[2].alias("id"), f[3].alias("ref"), f[4].alias("alt"), F.array_position(F.split(f[8], ":"), F.lit("GT")).alias("gt"), F.slice(f, 10, len(names)).alias("calls")
+        F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).try_cast("int").alias("pos"), F.get(f, F.lit(2)).alias("id"), F.get(f, F.lit(3)).alias("ref"), F.get(f, F.lit(4)).alias("alt"), F.array_position(F.split(F.get(f, F.lit(8)), ":"), F.lit("GT")).alias("gt"), F.slice(f, 10, len(names)).alias("calls")
     )
     if region:
         m = re.fullmatch(r"(?:(.*):)?(\d+)-(\d+)", region)
@@ -135,7 +135,7 @@ def read_trio(spark: SparkSession, prefix: str) -> tuple[DataFrame, DataFrame, D
     body = spark.read.text(f"{prefix}.mtx").where(~F.col("value").startswith("%") & (F.trim("value") != ""))
     size = body.first()["value"]
     f = F.split(F.trim("value"), r"\s+")
-    entries = body.where(F.col("value") != size).select((f[0].cast("long") - 1).alias("row"), (f[1].cast("long") - 1).alias("col"), F.coalesce(F.get(f, F.lit(2)).cast("double"), F.lit(1.0)).alias("value"))
+    entries = body.where(F.col("value") != size).select((F.get(f, F.lit(0)).try_cast("long") - 1).alias("row"), (F.get(f, F.lit(1)).try_cast("long") - 1).alias("col"), F.coalesce(F.get(f, F.lit(2)).try_cast("double"), F.lit(1.0)).alias("value"))
     table = lambda ext: spark.read.option("sep", "\t").option("header", True).csv(f"{prefix}.{ext}")
     variants = table("pvar")
     variants = variants.toDF(*[c.lstrip("#") for c in variants.columns])
