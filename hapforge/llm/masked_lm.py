@@ -1,12 +1,13 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
 The network predicts a word from the words at both its sides: embeddings of the two neighbours, a
-tanh layer, and a softmax over the output vocabulary (frequent words, and hash buckets for all
-others). It is trained in numpy on what the whole corpus holds: how often each (left, word, right)
-triple occurs. Those counts are gathered from every document by partial counts and a sum, and as both
-contexts and outputs are bounded vocabularies, the table that reaches the driver has a fixed size
-whatever the corpus. A document's score is the sum of the log-probabilities of its words, each given
-both neighbours, in whole texts.
+tanh layer, and a softmax over frequent words and hash buckets of all others. It is trained in numpy
+on how often each (left, word, right) triple of these classes occurs in the whole corpus, a table of
+fixed size. Every word of the corpus is predicted as itself: one in a bucket has the probability of
+its bucket times its share of the bucket's words. The counts behind the shares are a distributed
+table of all words, which grows with the corpus; the frequent end of it is broadcast, and rarer
+words meet it in a join. A document's score is the sum of the log-probabilities of its words, each
+given both neighbours, in whole texts. Neighbours are seen as one of ``CONTEXTS`` classes.
 
 Defined results: a null text counts as empty; a text without words has 0 tokens, a sum of 0 and a
 null mean. Rows that repeat are scored each and counted each. An empty table gives an empty result.
@@ -33,6 +34,8 @@ OUTPUTS, CONTEXTS = WORDS + BUCKETS, 1 + CONTEXT_WORDS + CONTEXT_BUCKETS
 EMBED, HIDDEN, STEPS, RATE, SMOOTH = 16, 32, 240, 0.03, 1e-4
 #: Distinct words that a task counts before it passes them on.
 HELD = 300_000
+#: Most words in buckets whose shares are broadcast; the shares of all others are joined by shuffle.
+HEAD = 200_000
 SEED = 7
 
 _SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -75,6 +78,24 @@ class Vocabulary(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
+def word_shares(counted: DataFrame, words: list[bytes]) -> DataFrame:
+    """(word, n, share) of every word that isn't listed: share is the log of its part in its bucket."""
+    listed = counted.sparkSession.createDataFrame([(w,) for w in words], "word binary")
+    rest = counted.join(F.broadcast(listed), "word", "left_anti").withColumn("bucket", F.crc32("word") % BUCKETS)
+    totals = rest.groupBy("bucket").agg(F.sum("n").alias("total"))  # at most BUCKETS rows
+    return rest.join(F.broadcast(totals), "bucket").select("word", "n", F.log(F.col("n") / F.col("total")).alias("share"))
+
+
+def least_count(shares: DataFrame, most: int) -> int:
+    """The least power of two that at most ``most`` words are counted as often as."""
+    sizes = {r["k"]: r["count"] for r in shares.groupBy(F.floor(F.log2("n")).alias("k")).count().collect()}
+    k, held = max(sizes, default=-1) + 1, 0
+    while k > 0 and held + sizes.get(k - 1, 0) <= most:
+        k -= 1
+        held += sizes.get(k, 0)
+    return 2**k
+
+
 def contexts(outputs: np.ndarray) -> np.ndarray:
     return np.where(outputs < CONTEXT_WORDS, 1 + outputs, 1 + CONTEXT_WORDS + outputs % CONTEXT_BUCKETS)
 
@@ -156,24 +177,38 @@ def masked_lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """doc_id, n_tokens, sum_logprob, mean_logprob of every document."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    words = [bytes(r["word"]) for r in word_counts(rows).orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+    vocabulary = materialize(word_counts(rows), "words")
+    words = [bytes(r["word"]) for r in vocabulary.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+    shares = word_shares(vocabulary, words)
+    bound = least_count(shares, HEAD)
+    head = {bytes(r["word"]): r["share"] for r in shares.where(F.col("n") >= bound).select("word", "share").collect()}  # at most HEAD rows
     counted = materialize(triple_counts(rows, words), "triples").toPandas()  # at most one row a cell of a fixed table
     counts = np.zeros(CONTEXTS * CONTEXTS * OUTPUTS)
     counts[counted.cell.to_numpy(np.int64)] = counted.n.to_numpy(float)
     network = WindowNetwork()
     network.train(counts)
-    sent = spark.sparkContext.broadcast((words, network.table()))
+    sent = spark.sparkContext.broadcast((words, network.table(), head))
 
     def run(batches):
-        words, table = sent.value
+        words, table, head = sent.value
         vocabulary = Vocabulary(words)
         for batch in batches:
-            n, total = [], []
+            n, total, tails = [], [], []
             for text in batch.column(1).to_pylist():
-                at = cells(vocabulary.outputs(text))
-                n.append(len(at))
-                total.append(float(table[at].sum(dtype=np.float64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["doc_id", "n_tokens", "sum_logprob"])
-
-    scored = rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, sum_logprob double")
+                own = words_of(text)
+                outputs = np.fromiter(map(vocabulary.__getitem__, own), np.int64, len(own))
+                in_buckets = [own[i] for i in np.flatnonzero(outputs >= WORDS).tolist()]
+                found = list(map(head.get, in_buckets))
+                n.append(len(own))
+                total.append(float(table[cells(outputs)].sum(dtype=np.float64)) + sum(s for s in found if s is not None))
+                tails.append([w for w, s in zip(in_buckets, found, strict=True) if s is None])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(tails, pa.list_(pa.binary()))], ["doc_id", "n_tokens", "sum_logprob", "tail"])
+
+    scored = rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, sum_logprob double, tail array<binary>")
+    if bound > 1:
+        scored = materialize(scored.withColumn("locator", F.monotonically_increasing_id()), "scored")
+        tail = scored.select("locator", F.explode("tail").alias("word")).join(shares.where(F.col("n") < bound), "word")
+        tail = tail.groupBy("locator").agg(F.sum("share").alias("more"))
+        scored = scored.join(tail, "locator", "left").withColumn("sum_logprob", F.col("sum_logprob") + F.coalesce("more", F.lit(0.0)))
+    scored = scored.select("doc_id", "n_tokens", "sum_logprob")
     return scored.withColumn("mean_logprob", F.when(F.col("n_tokens") > 0, F.col("sum_logprob") / F.col("n_tokens")))

@@ -306,6 +306,25 @@ def test_masked_lm_prefers_order():
     assert score("a b c a b c") > score("c b a b a c")
 
 
+@pytest.mark.parametrize("head", [masked_lm.HEAD, 450, 0])
+def test_masked_lm_tells_words_of_a_bucket_apart(spark, monkeypatch, head):
+    """Words outside the listed ones are scored by their own counts, broadcast or joined, and all words together are a distribution."""
+    monkeypatch.setattr(masked_lm, "HEAD", head)
+    bucket = lambda w: zlib.crc32(w.encode()) % masked_lm.BUCKETS
+    same = [w for i in range(1000) if bucket(w := f"rare{i}") == bucket("rare0")][:3]
+    listed = [f"often{i}" for i in range(masked_lm.WORDS)]
+    texts = [w for w in listed for _ in range(9)] + [same[0]] * 5 + [same[1]] * 2 + [same[2]] + [f"once{i}" for i in range(700)]
+    df = spark.createDataFrame([(7, t) for t in texts] + [(8, f"{same[0]} {same[2]} often1 {same[2]}")], "doc_id long, text string")
+    scored = masked_lm.masked_lm_scores(df.withColumn("doc_id", F.when(F.col("doc_id") == 7, F.xxhash64("text")).otherwise(8)))
+    ids = {r.h: r.text for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    rows = [(ids.get(r.doc_id), r.sum_logprob) for r in scored.collect()]
+    assert len(rows) == len(texts) + 1
+    got = dict(rows)
+    assert got[same[0]] - got[same[1]] == pytest.approx(np.log(6 / 2)) and got[same[0]] - got[same[2]] == pytest.approx(np.log(6 / 3))
+    by_word = {t: p for t, p in rows if t is not None and " " not in t}
+    assert len(by_word) == masked_lm.WORDS + 703 and sum(np.exp(p) for p in by_word.values()) == pytest.approx(1, abs=0.01)
+
+
 # --- urls and preferences ----------------------------------------------------------------------
 
 
