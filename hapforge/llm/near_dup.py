@@ -21,6 +21,8 @@ Equal shingle sets are one *node*. No bucket is ever expanded into all its pairs
 After that every pair of the same bucket is in one component, compared, or provably too different,
 so no link between components is lost. Every comparison counts the intersection of whole sets.
 
+``keep_representatives`` decides by row: rows are told apart by identifier and text.
+
 Defined results: a null or blank text has an empty set and is linked with nothing. A text with fewer
 words than a shingle is one shingle. Rows that repeat an identifier are the same document. Null
 identifiers rank above all others; a component of such rows alone has a null component_id. An empty
@@ -36,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hapforge.llm.exact_dedup import sha256_text
 from hapforge.shared import materialize
 
 #: Words of a shingle and least similarity in per cent where no contract says otherwise.
@@ -145,8 +148,9 @@ def _slabs(sets: list[np.ndarray]):
 
 
 def sign(docs: DataFrame, k: int, percent: int, rows: int = ROWS, seed: int = 0) -> DataFrame:
-    """doc_id, set size, two digests of the set, and its band keys."""
+    """doc_id, set size, two digests of the set, its band keys, and what columns ``docs`` has after its text."""
     bands = bands_for(percent, rows)
+    more = docs.columns[2:]
 
     def run(batches):
         for batch in batches:
@@ -171,11 +175,11 @@ def sign(docs: DataFrame, k: int, percent: int, rows: int = ROWS, seed: int = 0)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, mask=empty), pa.array(twin, mask=empty),
-                        pa.ListArray.from_arrays(offsets, pa.array(keys[~empty].reshape(-1))),
-                    ], ["doc_id", "n_shingles", "node", "twin", "bands"],
+                        pa.ListArray.from_arrays(offsets, pa.array(keys[~empty].reshape(-1))), *part.columns[2:],
+                    ], ["doc_id", "n_shingles", "node", "twin", "bands", *more],
                 )
 
-    return docs.mapInArrow(run, SIGNED)
+    return docs.mapInArrow(run, ", ".join([SIGNED, *[f"{c} {kind}" for c, kind in docs.dtypes[2:]]]))
 
 
 def sets_of(docs: DataFrame, k: int, seed: int) -> DataFrame:
@@ -263,12 +267,19 @@ class _Judge:
         return judged.where(F.col("both") * 100 >= F.col("either") * self.percent).select("x", "y")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, rows: int = ROWS, keyed: bool = False) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, kept.
+
+    ``keyed`` tells rows apart by identifier and text instead: there is the digest of the text too,
+    and of each component only the rows with its least (identifier, digest) are kept.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    key = ["digest"] if keyed else []
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *key)  # null identifiers rank above all others
     for seed in range(4):
-        signed = materialize(sign(docs, k, percent, rows, seed), "signed")
-        classes = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.min("twin").alias("t0"), F.max("twin").alias("t1"))
+        signed = materialize(sign(docs.withColumn("digest", sha256_text(F.col("text"))) if keyed else docs, k, percent, rows, seed), "signed")
+        classes = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(own).alias("first"), F.max("n_shingles").alias("n"), F.min("twin").alias("t0"), F.max("twin").alias("t1"))
         classes = materialize(classes, "classes")
         if classes.where("t0 <> t1").isEmpty():  # else two sets share a 64-bit digest: hash anew
             break
@@ -321,16 +332,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not cross.isEmpty():
         comps = merged(comps, judge.links(judge.compare(cross, "judged-more", sets)), "third")
 
-    named = classes.join(comps, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
-    lowest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    final = named.join(lowest, "comp").select("node", "component_id")
-    out = signed.select("doc_id", "n_shingles", "node").join(final, "node", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = classes.join(comps, "node", "left").select("node", "first", F.coalesce("comp", "node").alias("comp"))
+    lowest = named.groupBy("comp").agg(F.min("first").alias("least"))
+    final = named.join(lowest, "comp").select("node", "least")
+    out = signed.select("doc_id", "n_shingles", "node", *key).join(final, "node", "left")
+    alone = F.col("n_shingles") == 0
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    kept = F.col("doc_id").eqNullSafe(component)
+    kept = kept & (alone | (F.col("digest") == F.col("least.digest"))) if keyed else kept
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), *key)
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, all columns, one document for each component."""
-    gone = materialize(near_duplicates(docs, id_col, text_col, k, percent).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct(), "near-gone")
-    sized = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(sized, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    """The rows of ``docs``, all columns, one document for each component. Rows go by identifier and text, so others that repeat the identifier stay."""
+    gone = near_duplicates(docs, id_col, text_col, k, percent, keyed=True).where("NOT kept")
+    gone = materialize(gone.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__gone")).distinct(), "near-gone")
+    sized = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS // 4 else gone  # digests are wider than identifiers
+    tagged = docs.withColumn("__digest", sha256_text(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return tagged.join(sized, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__gone")), "left_anti").drop("__digest")

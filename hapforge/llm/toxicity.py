@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hapforge.llm.exact_dedup import sha256_text
 from hapforge.llm.labelled import calibrated, held_out, isotonic, training_ids
 from hapforge.shared import materialize
 
@@ -37,6 +38,8 @@ TREES, DEPTH, RATE, BINS, LEAF = 120, 3, 0.12, 32, 12
 MEMO = 500_000
 #: Words between a lexicon word and one of the second person.
 NEAR = 5
+#: Most digests of toxic texts that are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 125_000
 
 #: Pronouns of the second person, and readings of signs in obfuscated words.
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine sie ihr euch tu te toi ton ta tes vous votre vos ti tuyo tus usted ustedes su".split())
@@ -201,8 +204,8 @@ class BoostedTrees:
         return calibrated(self.raw(x), self.knots)
 
 
-def feature_rows(docs: DataFrame, entries: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, x) with the features of every whole text."""
+def feature_rows(docs: DataFrame, entries: dict[str, float], id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """(doc_id, x) with the features of every whole text, and its digest if ``keyed``."""
     sent = docs.sparkSession.sparkContext.broadcast(entries)  # at most LEXICON entries
 
     def run(batches):
@@ -210,10 +213,11 @@ def feature_rows(docs: DataFrame, entries: dict[str, float], id_col: str = "doc_
         for batch in batches:
             flat = np.array([features(t, lexicon) for t in batch.column(1).to_pylist()], float).reshape(-1)
             offsets = pa.array((np.arange(batch.num_rows + 1) * len(FEATURES)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat)), *batch.columns[2:]], ["doc_id", "x", *batch.schema.names[2:]])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, x array<double>")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *([sha256_text(text).alias("digest")] if keyed else []))
+    return rows.mapInArrow(run, f"doc_id bigint, x array<double>{', digest string' if keyed else ''}")
 
 
 def fit(rows: DataFrame) -> BoostedTrees | None:
@@ -230,31 +234,33 @@ def fit(rows: DataFrame) -> BoostedTrees | None:
 
 def score(rows: DataFrame, model: BoostedTrees | None, threshold: float) -> DataFrame:
     width = len(FEATURES)
+    key = [c for c in rows.columns if c == "digest"]
 
     def run(batches):
         for batch in batches:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
             p = model.probability(x) if model is not None else np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), *batch.columns[2:]], ["doc_id", "score", *key])
 
-    scored = rows.select("doc_id", "x").mapInArrow(run, "doc_id bigint, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = rows.select("doc_id", "x", *key).mapInArrow(run, f"doc_id bigint, score double{', digest string' if key else ''}")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *key)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, most: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document."""
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, most: int = TRAIN_ROWS, keyed: bool = False) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document, and the digest of its text if ``keyed``."""
     sample = materialize(training_ids(labels, label_col, most), "train-ids")
     lexicon_ids = F.broadcast(sample.where("half = 0").select(F.col("doc_id").alias("__id"), "label"))  # at most `most` rows
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     entries = mine_lexicon(materialize(texts.join(lexicon_ids, "__id").select("text", "label"), "lexicon-texts"))
-    rows = materialize(feature_rows(docs, entries, id_col, text_col), "features")
+    rows = materialize(feature_rows(docs, entries, id_col, text_col, keyed), "features")
     known = rows.join(F.broadcast(sample.where("half = 1").drop("half")), "doc_id").select("doc_id", "x", "label")
     return score(rows, fit(known), threshold)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text isn't scored as toxic."""
-    bad = toxicity_scores(docs, labels, id_col, text_col, threshold=threshold).where("predicted = 1")
-    bad = materialize(bad.select(F.col("doc_id").alias("__id")).distinct(), "toxic-ids")
-    bad = F.broadcast(bad) if bad.count() <= 500_000 else bad
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    """The rows of ``docs``, all columns, whose text isn't scored as toxic. Texts decide, as a score depends on nothing else."""
+    bad = toxicity_scores(docs, labels, id_col, text_col, threshold=threshold, keyed=True).where("predicted = 1")
+    bad = materialize(bad.select(F.col("digest").alias("__bad")).distinct(), "toxic-texts")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
+    tagged = docs.withColumn("__digest", sha256_text(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return tagged.join(bad, F.col("__digest") == F.col("__bad"), "left_anti").drop("__digest")

@@ -121,3 +121,24 @@ def test_preferences(spark):
     assert got[0].chosen_completion[start:end] == "a<|end|>\n"
     assert got[2].prompt == "" and got[2].chosen_mask == [] and got[None].n_prompt_turns == 0 and got[4].rejected_completion == ""
     assert preferences.preference_rows(df.where("false")).count() == 0
+
+
+def test_stages_drop_rows_not_identifiers(spark, monkeypatch):
+    """Rows that share a null or repeated identifier with a rejected one stay."""
+    base = " ".join(f"word{i}" for i in range(60))
+    clean = [(None, "quiet lake at dawn with birds"), (None, "a second unrelated text about bread"), (5, "roads and bridges of the north"), (5, "third text on clouds")]
+    near = [(None, base + " end"), (5, base + " fin"), (1, base), (None, "only nulls " + base.upper()[::-1]), (None, "only nulls " + base.upper()[::-1] + " x")]
+    df = spark.createDataFrame(clean + near, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in near_dup.keep_representatives(df).collect()]
+    rest = [r for r in got if r not in clean]
+    assert set(clean) <= set(got) and len(got) == len(clean) + 2 and (1, base) in rest and any(t.startswith("only nulls") for _, t in rest)
+
+    class Rejects:
+        def probability(self, x):
+            return (x[:, toxicity.FEATURES.index("shout_share")] > 0).astype(float)
+
+    monkeypatch.setattr(toxicity, "fit", lambda rows: Rejects())
+    toxic = [(None, "bad!!!"), (5, "worse!!!")]
+    labels = spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = toxicity.drop_toxic(spark.createDataFrame(clean + toxic, "doc_id long, text string"), labels)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(clean, key=repr)
