@@ -59,7 +59,8 @@ class WordIds(dict):
     """Lower-case run of letters, one digit or a run of other signs -> its ids as little-endian 32-bit bytes.
 
     Texts of ASCII and Latin-1 letters are cut by the tokenizer's own pattern, and each run goes to its
-    model once; other texts go word by word through the whole tokenizer.
+    model once; other texts go word by word through the whole tokenizer, and texts that may hold a
+    special token's string go there as one.
     """
 
     #: The tokenizer's pattern over ASCII and the letters of Latin-1.
@@ -71,7 +72,6 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model, self.alphabet = self.tokenizer.model, _byte_alphabet()
 
     def __missing__(self, run: str) -> bytes:
@@ -82,6 +82,8 @@ class WordIds(dict):
         return out
 
     def encode(self, text: str) -> bytes:
+        if "oftext|>" in text.lower():  # may hold a special token, which only the whole tokenizer knows
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if self.PLAIN.fullmatch(text):
             return b"".join(map(self.__getitem__, self.RUNS.findall(text.lower())))
         # Only ASCII white space cuts words here: the normaliser and the pattern never look across it.

@@ -306,6 +306,15 @@ def test_masked_lm_prefers_order():
     assert score("a b c a b c") > score("c b a b a c")
 
 
+def test_special_tokens_inside_a_text_are_single_ids():
+    from tokenizers import Tokenizer
+
+    plain, ids = Tokenizer.from_file(packing.tokenizer_path()), packing.word_ids(packing.tokenizer_path())
+    for text in ("a<|endoftext|>b", "<|startoftext|> Hello <|endoftext|>", "<|ENDOFTEXT|> é 日本\u00a0x <|endoftext|>", "<|endoftext|", "oftext|> y"):
+        assert ids.encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert np.frombuffer(ids.encode("<|startoftext|><|endoftext|>"), "<u4").tolist() == [49406, 49407]
+
+
 @pytest.mark.parametrize("head", [masked_lm.HEAD, 450, 0])
 def test_masked_lm_tells_words_of_a_bucket_apart(spark, monkeypatch, head):
     """Words outside the listed ones are scored by their own counts, broadcast or joined, and all words together are a distribution."""
