@@ -16,7 +16,12 @@ Equal shingle sets are one *node*. No bucket is ever expanded into all its pairs
    own, the most central, and components are merged by the links found;
 4. in buckets that still hold several components, the nodes outside the largest one meet the nodes
    of other components, less what can't be linked: by the sizes, by the triangle inequality of the
-   Jaccard distance (through the least node), or by the bounds of step 2.
+   Jaccard distance (through the least node), by the bounds of step 2, or by parity bitmaps.
+
+A parity bitmap has one bit for each class of shingles, set where a node has an odd number of them.
+Two nodes differ in at least as many shingles as their bitmaps do in bits, so bitmaps that are too
+far apart rule a pair out without its sets, and nearly all pairs that are left are links. A join of
+step 3 or 4 thus puts out links and few other pairs, however large a group around one text is.
 
 After that every pair of the same bucket is in one component, compared, or provably too different,
 so no link between components is lost. Every comparison counts the intersection of whole sets.
@@ -49,11 +54,13 @@ ROWS = 6
 MISS = 1e-6
 #: Most identifiers that are broadcast to pick candidate documents; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: 64-bit words of a parity bitmap.
+PARITY = 16
 #: Shingles worked on at a time, to stay in the cache.
 SLAB = 1 << 16
 
 SIGNED = "doc_id bigint, n_shingles bigint, node bigint, twin bigint, bands array<bigint>"
-SETS = "node bigint, shingles array<bigint>"
+SETS = "node bigint, shingles array<bigint>, parity array<bigint>"
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -138,6 +145,14 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return keys
 
 
+def parity_bitmaps(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """sets x PARITY words: whether a set has an odd number of shingles of each class."""
+    bits = 64 * PARITY
+    of = np.repeat(np.arange(len(sizes)) * bits, sizes) + ((flat >> np.uint64(7)) % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(of, minlength=len(sizes) * bits).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(len(sizes), bits), axis=1, bitorder="little").view(np.int64)
+
+
 def _slabs(sets: list[np.ndarray]):
     at, size = 0, 0
     for i, s in enumerate(sets):
@@ -183,7 +198,7 @@ def sign(docs: DataFrame, k: int, percent: int, rows: int = ROWS, seed: int = 0)
 
 
 def sets_of(docs: DataFrame, k: int, seed: int) -> DataFrame:
-    """node and sorted shingle hashes of each text that has any."""
+    """node, sorted shingle hashes and parity bitmap of each text that has any shingle."""
 
     def run(batches):
         for batch in batches:
@@ -194,7 +209,9 @@ def sets_of(docs: DataFrame, k: int, seed: int) -> DataFrame:
                     flat = np.concatenate(sets)
                     node, _ = set_digests(flat, np.cumsum(sizes) - sizes)
                     offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64)))], ["node", "shingles"])
+                    words = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * PARITY)
+                    parity = pa.ListArray.from_arrays(words, pa.array(parity_bitmaps(flat, sizes).reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64))), parity], ["node", "shingles", "parity"])
 
     return docs.mapInArrow(run, SETS)
 
@@ -283,6 +300,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         classes = materialize(classes, "classes")
         if classes.where("t0 <> t1").isEmpty():  # else two sets share a 64-bit digest: hash anew
             break
+    else:
+        raise RuntimeError("different shingle sets share a digest under every seed")
     judge = _Judge(docs, classes.select("node", "rep"), k, percent, seed)
     once = signed.where("n_shingles > 0").dropDuplicates(["node"])
     exploded = once.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
@@ -301,18 +320,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = placed.select("key", "node", "n", F.coalesce("comp", "node").alias("comp"), F.when(F.col("node") == F.col("lead"), 0.0).otherwise(F.col("far")).alias("far"))
     placed = materialize(placed, "placed")
     several = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("least_n")).where("c0 <> c1").select("key", "least_n")
-    mixed = materialize(placed.join(several, "key"), "mixed")
+    # Written first, so that the joins on a bucket are dealt anew and a large bucket can be split.
+    mixed = materialize(placed.join(materialize(several, "several"), "key"), "mixed")
     sets = judge.sets(mixed.select("node").distinct())
     # ``shared`` bounds every intersection of a node; ``least_n`` is the smallest set of the bucket.
     mixed = mixed.join(judge.alone(sets), "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
     possible = F.col("shared") * 100 >= (F.col("n") + F.greatest("least_n", "shared") - F.col("shared")) * percent
-    mixed = materialize(mixed.where(possible).select("key", "node", "n", "comp", "far", "shared"), "possible")
+    words = [f"p{i}_" for i in range(PARITY)]
+    bitmaps = sets.select("node", *[F.col("parity")[i].alias(w) for i, w in enumerate(words)])
+    mixed = materialize(mixed.where(possible).select("key", "node", "n", "comp", "far", "shared").join(bitmaps, "node"), "possible")
     most = F.least("shared", "shared2")
-    fitting = (F.col("comp") != F.col("comp2")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (most * 100 >= (F.col("n") + F.col("n2") - most) * percent)
+    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}2"))) for w in words), F.lit(0))
+    near = differ * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent)
+    fitting = (F.col("comp") != F.col("comp2")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (most * 100 >= (F.col("n") + F.col("n2") - most) * percent) & near
     in_order = (F.least("node", "node2").alias("x"), F.greatest("node", "node2").alias("y"))
 
-    central = mixed.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("shared")).alias("alone"), "node", "n", "comp", "shared")).alias("hub"))
-    central = central.select("key", *[F.col(f"hub.{c}").alias(f"{c}2") for c in ("node", "n", "comp", "shared")])
+    central = mixed.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("shared")).alias("alone"), "node", "n", "comp", "shared", *words)).alias("hub"))
+    central = materialize(central.select("key", *[F.col(f"hub.{c}").alias(f"{c}2") for c in ("node", "n", "comp", "shared", *words)]), "central")
     known = judged.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     spokes = mixed.join(central, "key").where(fitting).select(*in_order).distinct()
     spokes = judge.compare(materialize(spokes.join(known, ["x", "y"], "left_anti"), "spokes"), "judged-spokes", sets)
@@ -322,8 +346,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = mixed.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     held = mixed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = held.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", F.col("m.comp").alias("main"))
-    mixed = materialize(mixed.join(main, "key"), "apart")
-    outer = mixed.where("comp <> main").select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "comp", "far", "shared")])
+    mixed = materialize(mixed.join(materialize(main, "main"), "key"), "apart")
+    outer = mixed.where("comp <> main").select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "comp", "far", "shared", *words)])
     room = F.lit(1 - percent / 100 + 1e-9)
     cross = mixed.join(outer, "key").where(
         fitting & ((F.col("comp") == F.col("main")) | (F.col("node") < F.col("node2"))) & F.coalesce(F.abs(F.col("far") - F.col("far2")) <= room, F.lit(True))
