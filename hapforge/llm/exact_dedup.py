@@ -28,7 +28,8 @@ BROADCAST_ROWS = 1_000_000
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",  # what is idle goes soon
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no space is taken ahead
 }
 

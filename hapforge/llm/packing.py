@@ -37,7 +37,7 @@ from hapforge.shared import materialize
 SEQUENCE = 4096
 END_ID = 1
 #: Runs of letters or signs whose ids a worker keeps; then it starts anew.
-MEMO_RUNS = 1_000_000
+MEMO_RUNS = 200_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
