@@ -22,8 +22,8 @@ from hapforge.sources.store import read_store, write_assoc, write_tsv
 
 
 def listed(text: str | None) -> list[str] | None:
-    """Values between commas or white space."""
-    return None if text is None else [x for x in re.split(r"[,\s]+", text.strip()) if x]
+    """Values between commas or white space, once each."""
+    return None if text is None else list(dict.fromkeys(x for x in re.split(r"[,\s]+", text.strip()) if x))
 
 
 def numbered(text: str | None) -> list[int] | None:
@@ -62,21 +62,29 @@ def parser() -> argparse.ArgumentParser:
         g.add_argument("--covar-col-nums")
         choice(p)
 
+    def source(p: argparse.ArgumentParser) -> None:
+        for flag in ("flip-minor-alleles", "remove-indels", "remove-multiallelics", "unphased"):
+            p.add_argument(f"--{flag}", action="store_true")
+        p.add_argument("--maf", type=float)
+        p.add_argument("--keep", help="file of samples")
+        p.add_argument("--sex-path", help="file of one number an individual, 1 male and 0 female")
+        p.add_argument("--partition-size", type=int, default=20_000_000)
+        p.add_argument("--num-small-blocks", type=int, default=20)
+
+    def filters(p: argparse.ArgumentParser) -> None:
+        p.add_argument("--maf-log10-threshold", type=int)
+        p.add_argument("--bed")
+        p.add_argument("--bed-maf-log10-threshold", type=int)
+
     p = command("compress", "VCF to store", store=False)
     p.add_argument("vcf")
-    for flag in ("flip-minor-alleles", "remove-indels", "remove-multiallelics"):
-        p.add_argument(f"--{flag}", action="store_true")
-    p.add_argument("--maf", type=float)
-    p.add_argument("--keep", help="file of samples")
-    p.add_argument("--partition-size", type=int, default=20_000_000)
+    source(p)
 
     p = command("multi-step-compress", "one step of a build", store=False)
     p.add_argument("step", choices=[f"step{i}" for i in range(6)])
     p.add_argument("--vcf-metadata", help="lines of chromosome and VCF path")
     p.add_argument("--store", help="where step5 writes")
-    p.add_argument("--partition-size", type=int, default=20_000_000)
-    p.add_argument("--flip-minor-alleles", action="store_true")
-    p.add_argument("--maf", type=float)
+    source(p)
 
     p = command("assoc", "association scan")
     tables(p)
@@ -85,9 +93,7 @@ def parser() -> argparse.ArgumentParser:
     g = p.add_mutually_exclusive_group()
     g.add_argument("--no-variant-info", action="store_true")
     g.add_argument("--all-variant-info", action="store_true")
-    p.add_argument("--maf-log10-threshold", type=int)
-    p.add_argument("--bed")
-    p.add_argument("--bed-maf-log10-threshold", type=int)
+    filters(p)
 
     p = command("rhe", "heritability by randomized Haseman-Elston")
     tables(p)
@@ -95,6 +101,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--estimator", choices=["hutchinson", "hutch++", "xnystrace"], default="xnystrace")
     p.add_argument("--sampler", choices=sorted(assoc.SAMPLERS), default="normal")
     p.add_argument("--seed", type=int, default=1)
+    filters(p)
 
     p = command("score", "polygenic scores")
     p.add_argument("--beta-path", required=True)
@@ -105,9 +112,14 @@ def parser() -> argparse.ArgumentParser:
 
 def _matrix(spark: SparkSession, a: argparse.Namespace) -> GenotypeMatrix:
     m = read_store(spark, a.store)
+    if m.variants.isEmpty():
+        raise ValueError(f"{a.store} has no blocks")
     if a.chrom or a.block_names:
         blocks = pick_blocks(blocks_of(m.variants, m.calls), listed(a.chrom), listed(a.block_names))
         m = m.with_variants(m.variants.join(blocks.select("block"), "block", "left_semi"))
+    if getattr(a, "maf_log10_threshold", None) is not None or getattr(a, "bed", None):
+        kept = dual_threshold(m.allele_counts(), read_bed(spark, a.bed) if a.bed else None, _power(a.maf_log10_threshold), _power(a.bed_maf_log10_threshold))
+        m = m.with_variants(kept)
     return m
 
 
@@ -128,9 +140,6 @@ def _power(log10: int | None) -> float:
 
 def run_assoc(spark: SparkSession, a: argparse.Namespace) -> None:
     m = _matrix(spark, a)
-    if a.maf_log10_threshold is not None or a.bed:
-        kept = dual_threshold(m.allele_counts(), read_bed(spark, a.bed) if a.bed else None, _power(a.maf_log10_threshold), _power(a.bed_maf_log10_threshold))
-        m = m.with_variants(kept)
     table, traits, covars = _people(spark, a)
     how = {"assume_hwe": not a.no_hwe, "recompute_ac": a.recompute_ac}
     out = assoc.gwas_each(m, table, traits, covars, **how) if a.repeat_covar else assoc.gwas(m, table, traits, covars, **how)
@@ -155,13 +164,18 @@ def run_score(spark: SparkSession, a: argparse.Namespace) -> None:
     write_tsv(assoc.polygenic_scores(_matrix(spark, a), effects, columns), a.out)
 
 
+def _source(spark: SparkSession, a: argparse.Namespace) -> dict:
+    samples = [r["iid"] for r in read_samples(spark, a.keep).collect()] if a.keep else None
+    return {
+        "size": a.partition_size, "small": a.num_small_blocks, "samples": samples, "maf": a.maf, "sex": a.sex_path, "phased": not a.unphased,
+        "flip_minor_alleles": a.flip_minor_alleles, "remove_indels": a.remove_indels, "remove_multiallelics": a.remove_multiallelics,
+    }
+
+
 def run_compress(spark: SparkSession, a: argparse.Namespace) -> None:
     from hapforge.plans import build
 
-    samples = [r["iid"] for r in read_samples(spark, a.keep).collect()] if a.keep else None
-    build.compress(
-        spark, a.vcf, a.out, f"{a.out}.work", size=a.partition_size, samples=samples, maf=a.maf, flip_minor_alleles=a.flip_minor_alleles, remove_indels=a.remove_indels, remove_multiallelics=a.remove_multiallelics
-    )
+    build.compress(spark, a.vcf, a.out, f"{a.out}.work", **_source(spark, a))
 
 
 def run_step(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -171,7 +185,7 @@ def run_step(spark: SparkSession, a: argparse.Namespace) -> None:
         if not a.vcf_metadata:
             raise ValueError("step0 needs --vcf-metadata")
         vcfs = [tuple(r["value"].split()[:2]) for r in spark.read.text(a.vcf_metadata).where("trim(value) <> ''").collect()]
-        build.step0(spark, vcfs, a.out, a.partition_size, maf=a.maf, flip_minor_alleles=a.flip_minor_alleles)
+        build.step0(spark, vcfs, a.out, **_source(spark, a))
     elif a.step == "step5":
         build.step5(spark, a.out, a.store or f"{a.out}/store")
     else:

@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hapforge.operators.dense import gram, orthonormal, times
 from hapforge.operators.matrix import GenotypeMatrix
 from hapforge.operators.variants import impute_means
 from hapforge.shared import materialize
@@ -78,7 +79,10 @@ def gwas(
     matrix: GenotypeMatrix, table: DataFrame, traits: list[str], covars: list[str], *, assume_hwe: bool = True, recompute_ac: bool = False, check_intercept: bool = True
 ) -> DataFrame:
     """variant_idx, a1freq[, a1_carrier_freq] and <trait>_beta, <trait>_se of every variant. The first covariate is the intercept."""
-    rows = aligned(matrix, table, traits, covars)
+    if not assume_hwe:
+        check_individuals(matrix)
+    matrix = matrix.stored()
+    rows = materialize(aligned(matrix, table, traits, covars), "aligned")
     if check_intercept:
         low, high = table.agg(F.min(F.col(covars[0]).cast("double")), F.max(F.col(covars[0]).cast("double"))).first()
         if low is None or abs(low - 1) > 1e-6 or abs(high - 1) > 1e-6:
@@ -86,11 +90,10 @@ def gwas(
     rows, ctc, facts = residualize(rows, len(traits), len(covars))
     inverse = np.linalg.pinv(ctc, rcond=RCOND)
     ts, cs = range(len(traits)), range(len(covars))
-    n_rows = rows.count()
-
     values = [f"r_{t}" for t in ts] + [f"c_{j}" for j in cs] + ([f"d_{t}" for t in ts] if recompute_ac else [])
     summed = matrix.calls.join(rows, "hap_idx").groupBy("variant_idx").agg(F.count(F.lit(1)).cast("double").alias("k"), *[F.sum(v).alias(v) for v in values])
-    totals = rows.agg(*[F.sum(v).alias(v) for v in values]).first()
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(v) for v in values]).first()
+    n_rows = totals["n"]
     # A flipped column is 1 - x: its sums are the totals less the stored sums.
     v = matrix.variants.select("variant_idx", "flip").join(summed, "variant_idx", "left").na.fill(0.0, ["k", *values])
     turn = lambda c, all_: F.when(F.col("flip"), F.lit(float(all_)) - F.col(c)).otherwise(F.col(c))
@@ -128,6 +131,15 @@ def gwas(
     return v.select(*out)
 
 
+def check_individuals(matrix: GenotypeMatrix) -> None:
+    """Without Hardy-Weinberg, heterozygotes are counted: haplotypes must belong to individuals, two at most to each."""
+    if "iid" not in matrix.haps.columns or matrix.ploidy != 1:
+        raise ValueError("without assume_hwe the matrix must have haplotypes with individuals (iid), to count heterozygotes")
+    odd = matrix.haps.groupBy("iid").agg(F.count(F.lit(1)).alias("n")).where("iid IS NULL OR n > 2").limit(1).collect()
+    if odd:
+        raise ValueError(f"without assume_hwe every individual has two haplotypes at most; {odd[0]['iid']!r} has {odd[0]['n']}")
+
+
 def gwas_each(matrix: GenotypeMatrix, table: DataFrame, traits: list[str], covars: list[str], **how) -> DataFrame:
     """Each trait alone, over the individuals that have it; only its beta and se are kept."""
     out = matrix.variants.select("variant_idx")
@@ -138,14 +150,21 @@ def gwas_each(matrix: GenotypeMatrix, table: DataFrame, traits: list[str], covar
 
 
 def simple_gwas(matrix: GenotypeMatrix, table: DataFrame, trait: str) -> DataFrame:
-    """Least squares of a trait on each column with an intercept only."""
+    """(variant_idx, beta, se): least squares of a trait on each column with an intercept only; null where a column doesn't vary."""
     rows = matrix.haps.select("hap_idx", "iid").join(table.select("iid", _number(trait).alias("y")).where("y IS NOT NULL"), "iid")
     n, sy, syy = rows.agg(F.count(F.lit(1)), F.sum("y"), F.sum(F.col("y") * F.col("y"))).first()
-    sums = matrix.calls.join(rows, "hap_idx").groupBy("variant_idx").agg(F.count(F.lit(1)).alias("ac"), F.sum("y").alias("xy"))
+    none = F.lit(None).cast("double")
+    if n < matrix.ploidy + 2:
+        return matrix.variants.select("variant_idx", none.alias("beta"), none.alias("se"))
+    held = matrix.calls.join(rows, "hap_idx").groupBy("variant_idx").agg(F.count(F.lit(1)).cast("double").alias("k"), F.sum("y").alias("ky"))
+    v = matrix.variants.select("variant_idx", "flip").join(held, "variant_idx", "left").na.fill(0.0, ["k", "ky"])
+    # A flipped column is 1 - x: its sums are the totals less the stored sums.
+    v = v.select("variant_idx", F.when(F.col("flip"), n - F.col("k")).otherwise(F.col("k")).alias("ac"), F.when(F.col("flip"), sy - F.col("ky")).otherwise(F.col("ky")).alias("xy"))
     var = F.col("ac") - F.col("ac") * F.col("ac") / n
-    beta = (F.col("xy") - F.col("ac") * (sy / n)) / F.when(var > 1e-6, var)
-    rss = F.lit(syy - sy * sy / n) - beta * beta * var
-    return sums.select("variant_idx", beta.alias("beta"), F.sqrt(rss / (n - matrix.ploidy * 1 - 1) / F.when(var > 1e-6, var)).alias("se"))
+    varies = F.when(var > 1e-6, var)
+    beta = (F.col("xy") - F.col("ac") * (sy / n)) / varies
+    rss = F.greatest(F.lit(syy - sy * sy / n) - beta * beta * var, F.lit(0.0))
+    return v.select("variant_idx", beta.alias("beta"), F.sqrt(rss / (n - matrix.ploidy - 1) / varies).alias("se"))
 
 
 # --- scores -----------------------------------------------------------------------------------
@@ -172,8 +191,8 @@ def simulate_phenotype(matrix: GenotypeMatrix, heritability: float, fraction_cau
 
 
 def hashed_uniform(key: Column, seed: int) -> Column:
-    """In (0, 1), the same for the same key and seed."""
-    return (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    """In (0, 1), the same for the same key and seed: 52 bits of an md5, so any engine can draw the same."""
+    return (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), key).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def hashed_normal(key: Column, seed: int) -> Column:
@@ -203,10 +222,10 @@ class Kinship:
     """K = 1/2 L Z Z' L' over individuals, without the covariates: K acts on (iid, values...)."""
 
     def __init__(self, matrix: GenotypeMatrix, table: DataFrame, covars: list[str], alpha: float = -1.0):
-        self.matrix, self.alpha, self.covars = matrix, alpha, covars
+        self.matrix, self.alpha, self.covars = matrix.stored(), alpha, covars
         t = impute_means(table, covars).select("iid", *[F.col(c).cast("double").alias(f"c_{j}") for j, c in enumerate(covars)])
         self.people = materialize(t, "people")
-        n, known = self.people.count(), matrix.haps.groupBy("iid").agg(F.count(F.lit(1)).alias("h"))
+        n, known = self.people.count(), self.matrix.haps.groupBy("iid").agg(F.count(F.lit(1)).alias("h"))
         bad = self.people.groupBy("iid").agg(F.count(F.lit(1)).alias("n")).join(known, "iid", "left").where("n > 1 OR coalesce(h, 0) NOT IN (0, 2)")
         if not bad.isEmpty():
             raise ValueError("every row must match no or two haplotypes, and every haplotype one row at most")
@@ -224,12 +243,12 @@ class Kinship:
         return rows.select("iid", *[(F.col(v) - sum((F.lit(float(coef[v][j])) * F.col(f"c_{j}") for j in p), F.lit(0.0))).alias(v) for v in values])
 
     def apply(self, x: DataFrame, values: list[str], name: str = "kinship") -> DataFrame:
-        """K x, written to the shared folder."""
+        """K x; the product is written to the shared folder before the covariates are taken out of it."""
         haps = self.matrix.haps.select("hap_idx", "iid").join(x, "iid").select("hap_idx", *values)
         moved = self.matrix.diploid(self.matrix.grm_matmat(haps, values, self.alpha), values)
         half = moved.select("iid", *[(F.col(v) / 2).alias(v) for v in values])
         filled = self.people.select("iid").join(half, "iid", "left").na.fill(0.0, values)
-        return materialize(self.project(filled, values), name)
+        return self.project(materialize(filled, name), values)
 
     def dots(self, a: DataFrame, b: DataFrame, values: list[str]) -> np.ndarray:
         """Sum over individuals of a_v b_v, a value."""
@@ -237,16 +256,10 @@ class Kinship:
         got = joined.agg(*[F.sum(F.col(f"{v}__a") * F.col(v)).alias(v) for v in values]).first()
         return np.array([got[v] or 0.0 for v in values])
 
-    def dense(self, x: DataFrame, values: list[str]) -> np.ndarray:
-        """Rows x values on the driver, ordered by individual: N x k numbers, for the k of one estimate."""
-        return x.orderBy("iid").select(*values).toPandas().to_numpy(float)
-
-    def from_dense(self, m: np.ndarray) -> tuple[DataFrame, list[str]]:
-        import pandas as pd
-
-        names = [f"x_{i}" for i in range(m.shape[1])]
-        ids = [r[0] for r in self.people.select("iid").orderBy("iid").collect()]
-        return self.people.sparkSession.createDataFrame(pd.DataFrame(m, columns=names).assign(iid=ids)), names
+    def without(self, x: DataFrame, values: list[str], basis: DataFrame, q: list[str]) -> DataFrame:
+        """x less its part in the span of an orthonormal basis."""
+        joined = materialize(x.join(basis, "iid"), "joined")
+        return times(joined, "iid", [*values, *q], np.vstack([np.eye(len(values)), -gram(joined, q, values)]), values)
 
 
 def check_matvecs(k: int, n: int, estimator: str) -> None:
@@ -256,57 +269,62 @@ def check_matvecs(k: int, n: int, estimator: str) -> None:
 
 
 def traces(kin: Kinship, k: int, estimator: str = "hutchinson", sampler: str = "normal", seed: int = 1) -> tuple[float, float]:
-    """Estimates of tr K and tr K^2 from k products with K."""
+    """Estimates of tr K and tr K^2 from k products with K. Only matrices of probes by probes reach the driver."""
     check_matvecs(k, kin.n, estimator)
-    base = kin.people.select("iid")
+
+    def drawn(n: int, seed: int) -> tuple[list[str], DataFrame]:
+        names = [f"x_{i}" for i in range(n)]
+        return names, materialize(kin.project(probes(kin.people.select("iid"), n, sampler, seed), names), "probes")
+
     if estimator == "hutchinson":
-        names = [f"x_{i}" for i in range(k)]
-        x = materialize(kin.project(probes(base, k, sampler, seed), names), "probes")
-        kx = kin.apply(x, names)
+        names, x = drawn(k, seed)
+        kx = materialize(kin.apply(x, names), "products")
         return float(kin.dots(x, kx, names).sum() / k), float(kin.dots(kx, kx, names).sum() / k)
     if estimator == "hutch++":
+        # The span of a third of the products is traced exactly, what is left of K by the rest.
         m = k // 3
-        s, sn = materialize(kin.project(probes(base, m, sampler, seed), [f"x_{i}" for i in range(m)]), "probes"), [f"x_{i}" for i in range(m)]
-        q, _ = np.linalg.qr(kin.dense(kin.apply(s, sn), sn))
-        qd, qn = kin.from_dense(q)
-        kq = kin.dense(kin.apply(qd, qn), qn)
-        g = kin.dense(kin.project(probes(base, m, sampler, seed + 104_729), sn), sn)
-        g -= q @ (q.T @ g)
-        gd, gn = kin.from_dense(g)
-        kg = kin.dense(kin.apply(gd, gn), gn)
-        left = kg - q @ (q.T @ kg)
-        t1 = float(np.sum(q * kq) + np.sum(g * kg) / m)
-        return t1, float(np.sum(kq * kq) + np.sum(kg * left) / m + np.sum((kg - left) ** 2) / m)
+        names, s = drawn(m, seed)
+        basis, q, _ = orthonormal(materialize(kin.apply(s, names), "products"), "iid", names)
+        basis = materialize(basis, "basis")
+        kq = materialize(kin.apply(basis, q), "products")
+        names, g = drawn(m, seed + 104_729)
+        g = materialize(kin.without(g, names, basis, q), "probes")
+        kg = materialize(kin.apply(g, names), "products")
+        t1 = kin.dots(basis, kq, q).sum() + kin.dots(g, kg, names).sum() / m
+        return float(t1), float(kin.dots(kq, kq, q).sum() + kin.dots(kg, kg, names).sum() / m)
     if estimator == "xnystrace":
-        m = max(2, k // 2)
-        names = [f"x_{i}" for i in range(m)]
-        om = kin.dense(kin.project(probes(base, m, sampler, seed), names), names)
-        om, _ = np.linalg.qr(om)
-        od, on = kin.from_dense(om * math.sqrt(kin.n))
-        y = kin.dense(kin.apply(od, on), on)
-        om = om * math.sqrt(kin.n)
-        shift = 1e-10 * np.linalg.norm(y)
-        h = om.T @ (y + shift * om)
-        try:
-            r = np.linalg.cholesky((h + h.T) / 2).T
-        except np.linalg.LinAlgError as e:
-            raise RuntimeError("the Nyström core isn't positive definite; use more individuals than products") from e
-        b = np.linalg.solve(r.T, (y + shift * om).T).T
-        ev = np.linalg.svd(b, compute_uv=False) ** 2 - shift
-        t1 = float(ev.sum()) + _left_out(om, y, b) / m
-        return t1, float((ev**2).sum()) + float(np.sum((y - b @ (b.T @ om)) ** 2)) / m
+        names, om = drawn(k, seed)
+        y = kin.apply(om, names).select("iid", *[F.col(v).alias(f"k{v}") for v in names])
+        both = materialize(om.join(y, "iid"), "products")
+        ys = [f"k{v}" for v in names]
+        got = gram(both, [*names, *ys], ys)
+        return nystrom_traces(got[:k], got[k:])
     raise ValueError(f"unknown estimator {estimator!r}; known: hutchinson, hutch++, xnystrace")
 
 
-def _left_out(om: np.ndarray, y: np.ndarray, b: np.ndarray) -> float:
-    """Each probe weighs what the low-rank part built from the other probes misses."""
-    total = 0.0
-    for i in range(om.shape[1]):
-        keep = [j for j in range(om.shape[1]) if j != i]
-        core = om[:, keep].T @ y[:, keep]
-        low = y[:, keep] @ np.linalg.pinv((core + core.T) / 2, rcond=1e-8) @ (y[:, keep].T @ om[:, i])
-        total += float(om[:, i] @ (y[:, i] - low))
-    return total
+def nystrom_traces(h: np.ndarray, g: np.ndarray, cut: float = 1e-10) -> tuple[float, float]:
+    """tr K and tr K^2 from H = O'KO and G = (KO)'KO for probes O: each probe weighs what the others leave out.
+
+    With S = KO H^-1 and c_i = (H^-1)_ii, the Nystroem approximation from all probes but the i-th is
+    N - s_i s_i' / c_i, where N = KO H^-1 (KO)'. As N O = KO, the i-th probe sees K o_i = y_i and the
+    approximation y_i - s_i / c_i, so every term comes from H and G. If K has fewer directions than
+    there are probes, N is K.
+    """
+    h = (h + h.T) / 2
+    w, v = np.linalg.eigh(h)
+    if w[-1] <= 0:
+        return 0.0, 0.0
+    kept = w > cut * w[-1]
+    inverse = (v[:, kept] / w[kept]) @ v[:, kept].T
+    p = inverse @ g
+    whole, square = float(np.trace(p)), float(np.sum(p * p.T))
+    if not kept.all():
+        return whole, square
+    s = p @ inverse
+    c, ss, ys, sns = np.diag(inverse), np.diag(s), np.diag(p), np.diag(p @ s)
+    t1 = whole + np.mean((1 - ss) / c)
+    t2 = square + np.mean((ss**2 / c - 2 * sns) / c + (2 * ys - ss / c) / c)
+    return float(t1), float(t2)
 
 
 def haseman_elston(
@@ -323,70 +341,93 @@ def haseman_elston(
     y = kin.project(y, ys)
     norm = kin.dots(y, y, ys)
     y = materialize(y.select("iid", *[(F.col(v) * F.lit(math.sqrt(known[v] / s) if s > 0 else 0.0)).alias(v) for v, s in zip(ys, norm, strict=True)]), "traits")
-    ky = kin.apply(y, ys)
-    yky, yy, kyky = kin.dots(y, ky, ys), kin.dots(y, y, ys), kin.dots(ky, ky, ys)
+    ky = materialize(kin.apply(y, ys), "products")
+    # Powers of K between the traits: y'y, y'Ky, y'KKy, y'KKKy.
     kky = kin.apply(ky, ys)
-    k3 = kin.dots(ky, kky, ys)
-    k4 = kin.dots(kky, kky, ys)
-    solve = np.linalg.inv(np.array([[t2, t1], [t1, float(n)]]))
+    forms = zip(kin.dots(y, y, ys), kin.dots(y, ky, ys), kin.dots(ky, ky, ys), kin.dots(ky, kky, ys), strict=True)
+    det = n * t2 - t1 * t1
     rows = []
-    for i, t in enumerate(traits):
-        a, b = solve @ np.array([yky[i], yy[i]])
-        # Variance of (y'Ky, y'y) under V = aK + bI, with the quadratic forms themselves as plug-in moments.
-        va, vb = 2 * (max(a, 0) * k3[i] + max(b, 0) * kyky[i]), 2 * (max(a, 0) * yky[i] + max(b, 0) * yy[i])
-        cab = 2 * (max(a, 0) * kyky[i] + max(b, 0) * yky[i])
-        cov = solve @ np.array([[va, cab], [cab, vb]]) @ solve.T
-        s2g, s2e = a * t1, b * yy[i]
-        cov = np.diag([t1, yy[i]]) @ cov @ np.diag([t1, yy[i]])
+    for t, (q0, q1, q2, q3) in zip(traits, forms, strict=True):
+        a, b = (n * q1 - t1 * q0) / det, (t2 * q0 - t1 * q1) / det
+        # U = y'(nK - tr K)y and W = y'y under V = aK + bI: their variances and covariance give those of a and b.
+        u = 2 * (a * (n * n * q3 - 2 * n * t1 * q2 + t1 * t1 * q1) + b * (n * n * q2 - 2 * n * t1 * q1 + t1 * t1 * q0))
+        uw = 2 * (n * (a * q2 + b * q1) - t1 * (a * q1 + b * q0))
+        w = 2 * (a * a * t2 + 2 * a * b * t1 + b * b * n)
+        va = (u + a * a * t2 / num_matvecs) / det**2
+        vb = t1 * t1 * u / (n * det) ** 2 + w / n**2 - 2 * t1 * uw / (n * n * det)
+        cab = uw / (det * n) - t1 * u / (n * det**2)
+        s2g, s2e = a * t1, b * q0
+        vg, ve, cge = t1 * t1 * va, q0 * q0 * vb, t1 * q0 * cab
         total = s2g + s2e
-        grad = np.array([s2e, -s2g]) / total**2 if total else np.zeros(2)
-        root = lambda x: float(math.sqrt(max(x, 0.0)))
-        rows.append((t, float(s2g), root(cov[0, 0]), float(s2e), root(cov[1, 1]), float(s2g / total) if total else math.nan, root(grad @ cov @ grad)))
-    del k4
+        vh = (s2e**2 * vg + s2g**2 * ve - 2 * s2g * s2e * cge) / total**4 if total else math.nan
+        root = lambda x: float(math.sqrt(x)) if x >= 0 else math.nan
+        rows.append((t, float(s2g), root(vg), float(s2e), root(ve), float(s2g / total) if total else math.nan, root(vh)))
     return matrix.calls.sparkSession.createDataFrame(rows, "phenotype string, s2g double, s2g_se double, s2e double, s2e_se double, h2g double, h2g_se double")
 
 
-def blup(matrix: GenotypeMatrix, table: DataFrame, trait: str, heritability: float, *, steps: int = 50, tolerance: float = 1e-8) -> DataFrame:
-    """(iid, prediction): K (K + s I)^-1 y by conjugate gradients; one product with K a step, K scaled to a mean diagonal of one."""
+def blup(matrix: GenotypeMatrix, table: DataFrame, trait: str, heritability: float, *, steps: int = 50, tolerance: float = 1e-10) -> DataFrame:
+    """(iid, prediction): K (K + s I)^-1 y by conjugate gradients; one product with K a step, K scaled to a mean diagonal of one.
+
+    It ends when the squared residual has fallen by ``tolerance``; RuntimeError if that takes more than ``steps``.
+    """
     kin = Kinship(matrix, with_intercept(table.select("iid", trait)), ["i0"])
-    t1 = exact_traces(matrix)[0]
+    t1 = trace_of_kinship(kin.matrix)
     ratio = (1 - heritability) / max(heritability, 1e-12)
     y = materialize(kin.project(table.select("iid", F.coalesce(_number(trait), F.lit(0.0)).alias("v")), ["v"]), "blup-y")
-    k = lambda x: kin.apply(x, ["v"], "blup")
     scale = kin.n / t1 if t1 else 1.0
-    state = materialize(y.select("iid", F.lit(0.0).alias("x"), F.col("v").alias("r"), F.col("v").alias("p")), "blup-state")
+    zero = F.lit(0.0)
+    # x solves the system, kx is K x scaled, r the residual, p the direction.
+    state = y.select("iid", zero.alias("x"), zero.alias("kx"), F.col("v").alias("r"), F.col("v").alias("p"))
     rr = first = float(kin.dots(y, y, ["v"])[0])
     for _ in range(steps):
-        if rr <= tolerance * max(first, 1e-300):
+        if rr <= tolerance * first:
             break
-        kp = k(state.select("iid", F.col("p").alias("v"))).select("iid", F.col("v").alias("kp"))
-        ap = state.join(kp, "iid").withColumn("ap", F.lit(scale) * F.col("kp") + F.lit(ratio) * F.col("p"))
-        step = rr / ap.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
-        moved = materialize(ap.select("iid", (F.col("x") + F.lit(step) * F.col("p")).alias("x"), (F.col("r") - F.lit(step) * F.col("ap")).alias("r"), "p"), "blup-state")
-        new = moved.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
-        state = moved.select("iid", "x", "r", (F.col("r") + F.lit(new / rr) * F.col("p")).alias("p"))
+        kp = kin.apply(state.select("iid", F.col("p").alias("v")), ["v"], "blup").select("iid", (F.lit(scale) * F.col("v")).alias("kp"))
+        ap = materialize(state.join(kp, "iid").withColumn("ap", F.col("kp") + F.lit(ratio) * F.col("p")), "blup-state")
+        pap, rap, aap = ap.agg(F.sum(F.col("p") * F.col("ap")), F.sum(F.col("r") * F.col("ap")), F.sum(F.col("ap") * F.col("ap"))).first()
+        step = rr / pap
+        new = max(rr - 2 * step * rap + step * step * aap, 0.0)
+        r = F.col("r") - F.lit(step) * F.col("ap")
+        state = ap.select("iid", (F.col("x") + F.lit(step) * F.col("p")).alias("x"), (F.col("kx") + F.lit(step) * F.col("kp")).alias("kx"), r.alias("r"), (r + F.lit(new / rr) * F.col("p")).alias("p"))
         rr = new
-    done = k(state.select("iid", F.col("x").alias("v")))
-    return done.select("iid", (F.col("v") * F.lit(scale)).alias("prediction"))
+    if rr > tolerance * first:
+        raise RuntimeError(f"conjugate gradients left {rr / first:.1e} of the squared residual after {steps} steps")
+    return state.select("iid", F.col("kx").alias("prediction"))
+
+
+def _varying(matrix: GenotypeMatrix) -> DataFrame:
+    """(variant_idx, f) of variants that vary: the frequency of what is stored, which a flip turns round."""
+    f = F.when(F.col("flip"), 1 - F.col("af")).otherwise(F.col("af"))
+    return matrix.allele_counts().where("af > 0 AND af < 1").select("variant_idx", f.alias("f"))
+
+
+def trace_of_kinship(matrix: GenotypeMatrix) -> float:
+    """tr K of 1/2 L Z Z' L' over individuals with two haplotypes: one sum over the doses, no pairs."""
+    people = matrix.iids().count()
+    sums = matrix.doses().groupBy("variant_idx").agg(F.sum(F.col("dose") * F.col("dose")).alias("square"), F.sum("dose").alias("one"))
+    f = F.col("f")
+    part = (F.coalesce("square", F.lit(0)) - 4 * f * F.coalesce("one", F.lit(0)) + 4 * people * f * f) / (f * (1 - f))
+    return (_varying(matrix).join(sums, "variant_idx", "left").agg(F.sum(part)).first()[0] or 0.0) / 2
 
 
 def exact_traces(matrix: GenotypeMatrix) -> tuple[float, float]:
     """tr K and tr K^2 of 1/2 L Z Z' L' over individuals, from pair sums of variants (K isn't formed).
 
     With individual sums s_u of column u: tr K = 1/2 sum_u |s_u|^2 and tr K^2 = 1/4 sum_uv (s_u's_v)^2.
-    Pairs that no individual shares have a closed form, so only co-occurring pairs are joined.
+    Pairs that no individual shares have a closed form, so only co-occurring pairs are joined. That
+    is as much as LD takes; ``traces`` estimates both without pairs.
     """
-    af = matrix.allele_counts().where("af > 0 AND af < 1").select("variant_idx", "af")
-    people = matrix.haps.select("iid").distinct().count()
-    g = matrix.doses().join(af.select("variant_idx"), "variant_idx", "left_semi")
+    matrix = matrix.stored()
+    f = _varying(matrix)
+    people = matrix.iids().count()
+    g = matrix.doses().join(f.select("variant_idx"), "variant_idx", "left_semi")
     a, b = g.select("iid", F.col("variant_idx").alias("u"), F.col("dose").alias("gu")), g.select("iid", F.col("variant_idx").alias("v"), F.col("dose").alias("gv"))
     met = a.join(b, "iid").groupBy("u", "v").agg(F.sum(F.col("gu") * F.col("gv")).alias("dot"))
-    fu = af.select(F.col("variant_idx").alias("u"), F.col("af").alias("fu"))
-    fv = af.select(F.col("variant_idx").alias("v"), F.col("af").alias("fv"))
+    fu, fv = f.toDF("u", "fu"), f.toDF("v", "fv")
     mean = 4.0 * people * F.col("fu") * F.col("fv")
     spread = F.col("fu") * (1 - F.col("fu")) * F.col("fv") * (1 - F.col("fv"))
     met = met.join(fu, "u").join(fv, "v").select("u", "v", ((F.col("dot") - mean) / F.sqrt(spread)).alias("w"), (mean / F.sqrt(spread)).alias("m"))
-    got = met.agg(F.sum(F.when(F.col("u") == F.col("v"), F.col("w"))), F.sum(F.col("w") * F.col("w") - F.col("m") * F.col("m"))).first()
-    s = af.agg(F.sum(F.col("af") / (1 - F.col("af")))).first()[0] or 0.0
+    square = met.agg(F.sum(F.col("w") * F.col("w") - F.col("m") * F.col("m"))).first()[0] or 0.0
     # Over all pairs, the sum of m^2 factorises: m = 4 N sqrt(fu/(1-fu)) sqrt(fv/(1-fv)).
-    return (got[0] or 0.0) / 2, ((got[1] or 0.0) + (4.0 * people * s) ** 2) / 4
+    s = f.agg(F.sum(F.col("f") / (1 - F.col("f")))).first()[0] or 0.0
+    return trace_of_kinship(matrix), (square + (4.0 * people * s) ** 2) / 4

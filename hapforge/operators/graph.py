@@ -23,12 +23,29 @@ def carrier_counts(cells: DataFrame) -> DataFrame:
 
 
 def containment(cells: DataFrame) -> DataFrame:
-    """(block, child, parent, n_child, n_parent): carriers of the child are among the parent's, child <> parent."""
-    a, b = cells.select("block", "hap_idx", F.col("v").alias("child")), cells.select("block", "hap_idx", F.col("v").alias("parent"))
-    met = a.join(b, ["block", "hap_idx"]).where("child <> parent").groupBy("block", "child", "parent").agg(F.count(F.lit(1)).alias("k"))
-    n = carrier_counts(cells)
-    child, parent = n.select("block", F.col("v").alias("child"), F.col("n").alias("n_child")), n.select("block", F.col("v").alias("parent"), F.col("n").alias("n_parent"))
-    return met.join(child, ["block", "child"]).where("k = n_child").join(parent, ["block", "parent"]).select("block", "child", "parent", "n_child", "n_parent")
+    """(block, child, parent, n_child, n_parent): carriers of the child are among the parent's, child <> parent.
+
+    A parent has every carrier of the child, so only variants of one of them can be parents: those of
+    the child's carrier with the fewest variants, if they have as many carriers as the child and are
+    also on its carrier with the most. Only these candidates are compared carrier by carrier.
+    """
+    load = cells.groupBy("block", "hap_idx").agg(F.count(F.lit(1)).alias("load"))
+    known = materialize(cells.join(load, ["block", "hap_idx"]).join(carrier_counts(cells), ["block", "v"]), "carriers")
+    ends = known.groupBy("block", F.col("v").alias("child")).agg(
+        F.min(F.struct("load", "hap_idx")).alias("least"), F.max(F.struct("load", "hap_idx")).alias("most"), F.max("n").alias("n_child")
+    )
+    ends = ends.select("block", "child", "n_child", F.col("least.hap_idx").alias("hap_idx"), F.col("most.hap_idx").alias("other"))
+    parents = known.select("block", "hap_idx", F.col("v").alias("parent"), F.col("n").alias("n_parent"))
+    found = ends.join(parents, ["block", "hap_idx"]).where("child <> parent AND n_child <= n_parent").drop("hap_idx")
+    also = parents.select("block", F.col("hap_idx").alias("other"), "parent")
+    found = materialize(found.join(also, ["block", "other", "parent"], "left_semi").drop("other"), "candidates")
+    # One or two carriers have been seen already.
+    seen, rest = found.where("n_child <= 2"), found.where("n_child > 2")
+    met = rest.join(known.select("block", F.col("v").alias("child"), "hap_idx"), ["block", "child"])
+    met = met.join(parents.drop("n_parent"), ["block", "hap_idx", "parent"], "left_semi")
+    held = met.groupBy("block", "child", "parent", "n_child", "n_parent").agg(F.count(F.lit(1)).alias("k")).where("k = n_child").drop("k")
+    names = ["block", "child", "parent", "n_child", "n_parent"]
+    return seen.select(names).unionByName(held.select(names))
 
 
 def representatives(cells: DataFrame, contained: DataFrame) -> DataFrame:
@@ -161,6 +178,17 @@ def degrees(edges: DataFrame) -> DataFrame:
     return out.unionByName(into).groupBy("block", "v").agg(F.sum("outdegree").alias("outdegree"), F.sum("indegree").alias("indegree"))
 
 
+def leaf_carriers(edges: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(block, v, leaf): the leaves (block, v) that each node reaches downwards."""
+    below = transitive_closure(edges).select("block", F.col("parent").alias("v"), F.col("child").alias("leaf"))
+    return below.join(leaves.select("block", F.col("v").alias("leaf")), ["block", "leaf"], "left_semi").select("block", "v", "leaf")
+
+
+def clique_sizes(edges: DataFrame) -> DataFrame:
+    """(block, size): how many children share the pair of neighbouring parents that most do."""
+    return trio_cliques(edges).groupBy("block").agg(F.max("size").alias("size"))
+
+
 def without_isolated(nodes: DataFrame, edges: DataFrame, required: DataFrame | None = None) -> DataFrame:
     """Nodes with an edge, and those required, numbered anew."""
     used = edges.select("block", F.col("parent").alias("v")).union(edges.select("block", "child"))

@@ -19,6 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hapforge.functions.columns import minor, sign
+from hapforge.shared import materialize
+
+#: Parts into which haplotypes are dealt when the complement of a column is listed.
+PARTS = 64
 
 
 @dataclass(frozen=True)
@@ -27,6 +31,22 @@ class GenotypeMatrix:
     variants: DataFrame
     haps: DataFrame
     ploidy: int = 1
+    #: variants with their counts, if they have been stored.
+    counted: DataFrame | None = None
+
+    def _with(self, **parts) -> GenotypeMatrix:
+        return replace(self, counted=None, **parts)
+
+    def stored(self) -> GenotypeMatrix:
+        """The same matrix, written to the shared folder with its counts, for what takes more than one pass over it."""
+        if self.counted is not None:
+            return self
+        m = replace(self, calls=materialize(self.calls, "calls"), variants=materialize(self.variants, "variants"), haps=materialize(self.haps, "haps"))
+        return replace(m, counted=materialize(m.allele_counts(), "counted"))
+
+    def iids(self) -> DataFrame:
+        """(iid) of the individuals, once each."""
+        return self.haps.select("iid").distinct()
 
     @cached_property
     def n(self) -> int:
@@ -45,21 +65,21 @@ class GenotypeMatrix:
     def with_variants(self, kept: DataFrame) -> GenotypeMatrix:
         """The columns named by ``kept`` (variant_idx)."""
         ids = kept.select("variant_idx").distinct()
-        return replace(self, variants=self.variants.join(ids, "variant_idx", "left_semi"), calls=self.calls.join(ids, "variant_idx", "left_semi"))
+        return self._with(variants=self.variants.join(ids, "variant_idx", "left_semi"), calls=self.calls.join(ids, "variant_idx", "left_semi"))
 
     def keep_samples(self, iids: DataFrame) -> GenotypeMatrix:
         """The rows of the individuals in ``iids`` (iid), both haplotypes of each."""
         haps = self.haps.join(iids.select("iid").distinct(), "iid", "left_semi")
-        return replace(self, haps=haps, calls=self.calls.join(haps.select("hap_idx"), "hap_idx", "left_semi"))
+        return self._with(haps=haps, calls=self.calls.join(haps.select("hap_idx"), "hap_idx", "left_semi"))
 
     def remove_samples(self, iids: DataFrame) -> GenotypeMatrix:
         haps = self.haps.join(iids.select("iid").distinct(), "iid", "left_anti")
-        return replace(self, haps=haps, calls=self.calls.join(haps.select("hap_idx"), "hap_idx", "left_semi"))
+        return self._with(haps=haps, calls=self.calls.join(haps.select("hap_idx"), "hap_idx", "left_semi"))
 
     def drop_second_of_males(self) -> GenotypeMatrix:
         """Males (sex 1) are haploid: their second haplotype goes."""
         haps = self.haps.where(~((F.col("sex") == 1) & (F.col("hap") == 1)))
-        return replace(self, haps=haps, calls=self.calls.join(haps.select("hap_idx"), "hap_idx", "left_semi"))
+        return self._with(haps=haps, calls=self.calls.join(haps.select("hap_idx"), "hap_idx", "left_semi"))
 
     # --- counts -----------------------------------------------------------------------------
 
@@ -70,6 +90,8 @@ class GenotypeMatrix:
 
     def allele_counts(self) -> DataFrame:
         """variants with ``ac`` (flips corrected), ``af`` and ``maf``."""
+        if self.counted is not None:
+            return self.counted
         ac = F.when(F.col("flip"), F.lit(self.n) - F.col("stored")).otherwise(F.col("stored"))
         counted = self.stored_counts().withColumn("ac", ac.cast("long"))
         af = F.col("ac") / F.lit(float(max(self.n, 1) * self.ploidy))
@@ -101,11 +123,13 @@ class GenotypeMatrix:
         counted = self.stored_counts().withColumn("turn", F.col("stored") > F.lit(self.n / 2))
         turned = counted.where("turn").select("variant_idx")
         rest = self.calls.join(turned, "variant_idx", "left_anti").select("variant_idx", "hap_idx")
-        # Only turned columns are paired with all rows; there is at most one new cell for each old one.
-        cells = turned.crossJoin(self.haps.select("hap_idx")).join(self.calls, ["variant_idx", "hap_idx"], "left_anti")
+        # Only turned columns meet all rows, part by part; there is at most one new cell for each old one.
+        rows = self.haps.select("hap_idx", F.pmod(F.xxhash64("hap_idx"), F.lit(PARTS)).alias("part"))
+        dealt = turned.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+        cells = dealt.join(rows, "part").join(self.calls, ["variant_idx", "hap_idx"], "left_anti")
         names = self.variants.columns
         variants = counted.withColumn("flip", F.col("flip") != F.col("turn")).select(*names)
-        return replace(self, calls=rest.unionByName(cells.select("variant_idx", "hap_idx")), variants=variants)
+        return self._with(calls=rest.unionByName(cells.select("variant_idx", "hap_idx")), variants=variants)
 
     # --- products ---------------------------------------------------------------------------
 
@@ -156,7 +180,9 @@ class GenotypeMatrix:
         w = self.centered_rmatmat(left, values)
         pq = F.col("af") * (1 - F.col("af"))
         weight = F.when(pq > 0, F.pow(pq, F.lit(float(alpha)))).otherwise(F.lit(0.0))
-        return self.centered_matmat(w.select("variant_idx", *[(F.col(v) * weight).alias(v) for v in values]), values)
+        # Written once: the product reads it for the cells, for the flips and for the mean.
+        weighted = materialize(w.select("variant_idx", *[(F.col(v) * weight).alias(v) for v in values]), "weighted")
+        return self.centered_matmat(weighted, values)
 
     def diploid(self, rows: DataFrame, values: list[str]) -> DataFrame:
         """Sum haplotype rows (hap_idx, values...) by individual."""
@@ -186,9 +212,14 @@ class GenotypeMatrix:
             return cells.select("variant_idx", "hap_idx")
         return cells.join(self.haps.select("hap_idx", "iid"), "hap_idx").groupBy("variant_idx", "iid").agg(F.count(F.lit(1)).alias("dose"))
 
+    def genotype_variances(self, within: DataFrame | None = None) -> DataFrame:
+        """(variant_idx, variance, carriers): the sum of squared doses, 3 alleles - 2 carriers, over the individuals in ``within`` (iid)."""
+        people = self.carrier_counts(within)
+        return people.select("variant_idx", (F.col("heterozygotes") + 4 * F.col("homozygotes")).alias("variance"), "carriers")
+
     def column_variances(self, sample: DataFrame | None = None) -> DataFrame:
         """Population variance of each column over all rows or over ``sample`` (hap_idx)."""
-        m = self if sample is None else replace(self, haps=self.haps.join(sample.select("hap_idx").distinct(), "hap_idx", "left_semi"), calls=self.calls.join(sample.select("hap_idx").distinct(), "hap_idx", "left_semi"))
+        m = self if sample is None else self._with(haps=self.haps.join(sample.select("hap_idx").distinct(), "hap_idx", "left_semi"), calls=self.calls.join(sample.select("hap_idx").distinct(), "hap_idx", "left_semi"))
         return m.allele_counts().select("variant_idx", (F.col("af") * (1 - F.col("af"))).alias("variance"))
 
 

@@ -28,27 +28,32 @@ def snvs(variants: DataFrame, remove_indels: bool = True, remove_multiallelics:
     return kept.where(is_biallelic(F.col("alt"))) if remove_multiallelics else kept
 
 
-def _covers(bed: DataFrame) -> Column:
-    return (F.col("chrom") == F.col("bed_chrom")) & (F.col("pos") >= F.col("bed_start")) & (F.col("pos") < F.col("bed_end"))
-
-
-def _bed(bed: DataFrame) -> DataFrame:
-    return bed.select(F.col("chrom").alias("bed_chrom"), F.col("chromStart").alias("bed_start"), F.col("chromEnd").alias("bed_end"))
+#: Positions of a bin are 2^BIN.
+BIN = 14
 
 
 def in_bed(variants: DataFrame, bed: DataFrame) -> DataFrame:
-    """Chromosome names equal as they are, start <= pos < end in any of the regions. A hash join on the name with the range as its condition."""
-    return variants.join(_bed(bed), _covers(bed), "left_semi")
+    """Chromosome names equal as they are, start <= pos < end in any of the regions.
+
+    Regions are listed once for each bin of positions they touch, so variants meet those of their own
+    bin only, and a chromosome is spread over its bins.
+    """
+    bins = F.sequence(F.shiftright("chromStart", BIN), F.shiftright(F.col("chromEnd") - 1, BIN))
+    spread = bed.where("chromEnd > chromStart").select(F.col("chrom").alias("bed_chrom"), F.col("chromStart").alias("bed_start"), F.col("chromEnd").alias("bed_end"), F.explode(bins).alias("bed_bin"))
+    covers = (F.col("chrom") == F.col("bed_chrom")) & (F.shiftright(F.col("pos").cast("long"), BIN) == F.col("bed_bin")) & (F.col("pos") >= F.col("bed_start")) & (F.col("pos") < F.col("bed_end"))
+    return variants.join(spread, covers, "left_semi")
 
 
 def dual_threshold(variants: DataFrame, bed: DataFrame | None, maf: float = 0.0, bed_maf: float = 0.0, bed_only: bool = False) -> DataFrame:
     """Variants of the BED regions above one frequency, others above another; without BED only the first counts."""
     if bed is None:
         return maf_above(variants, maf)
-    inside = in_bed(variants, bed).where(minor(F.col("af")) > bed_maf)
     if bed_only:
-        return inside
-    return inside.unionByName(variants.join(_bed(bed), _covers(bed), "left_anti").where(minor(F.col("af")) > maf))
+        return in_bed(variants, bed).where(minor(F.col("af")) > bed_maf)
+    inside = in_bed(variants.select("chrom", "pos").distinct(), bed).select(F.col("chrom").alias("in_chrom"), F.col("pos").alias("in_pos"))
+    flagged = variants.join(inside, (F.col("chrom") == F.col("in_chrom")) & (F.col("pos") == F.col("in_pos")), "left")
+    least = F.when(F.col("in_pos").isNotNull(), F.lit(bed_maf)).otherwise(F.lit(maf))
+    return flagged.where(minor(F.col("af")) > least).drop("in_chrom", "in_pos")
 
 
 def counts_by_block(variants: DataFrame, maf: float, bed: DataFrame | None = None, bed_maf: float = 0.0) -> DataFrame:
@@ -60,8 +65,8 @@ def counts_by_block(variants: DataFrame, maf: float, bed: DataFrame | None = Non
 def blocks_of(variants: DataFrame, calls: DataFrame) -> DataFrame:
     """(block, chrom, start, end, n_variants, n_entries)."""
     spans = variants.groupBy("block", "chrom").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.count(F.lit(1)).alias("n_variants"))
-    cells = calls.join(variants.select("variant_idx", "block"), "variant_idx").groupBy("block").agg(F.count(F.lit(1)).alias("n_entries"))
-    return spans.join(cells, "block", "left").na.fill(0, ["n_entries"])
+    cells = calls.join(variants.select("variant_idx", "block", "chrom"), "variant_idx").groupBy("block", "chrom").agg(F.count(F.lit(1)).alias("n_entries"))
+    return spans.join(cells, ["block", "chrom"], "left").na.fill(0, ["n_entries"])
 
 
 def ordered_blocks(blocks: DataFrame) -> DataFrame:
@@ -121,6 +126,23 @@ def merge_rows(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.select(key, F.col("row").alias("left_row")).join(right.select(key, F.col("row").alias("right_row")), key).select("left_row", "right_row")
 
 
+def merge_chain(tables: list[DataFrame], key: str) -> DataFrame:
+    """(left_row, right_row) of the first and the last table, by way of those between: the composed merge of several tables."""
+    if len(tables) < 2:
+        raise ValueError("a chain needs two tables or more")
+    first, *between, last = tables
+    for table in between:
+        if dict(table.dtypes)[key] != dict(first.dtypes)[key]:
+            raise TypeError(f"{key} is {dict(first.dtypes)[key]} in one table and {dict(table.dtypes)[key]} in another")
+        first = first.join(table.select(key), key)
+    return merge_rows(first, last, key)
+
+
+def rows_with_match(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The rows of ``left``, once each, whose key occurs in ``right``."""
+    return left.join(right.select(key), key, "left_semi")
+
+
 def attach_info(results: DataFrame, info: DataFrame) -> DataFrame:
     """Join by variant_idx; ValueError unless both have the same number of variants."""
     a, b = results.count(), info.count()

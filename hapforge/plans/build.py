@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hapforge.functions.columns import plain_chrom
 from hapforge.operators import graph
 from hapforge.operators.matrix import GenotypeMatrix
 from hapforge.operators.variants import region_partitions
-from hapforge.sources.files import read_vcf
+from hapforge.sources.files import read_sex, read_vcf, vcf_samples
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -33,17 +34,29 @@ def _once(spark: SparkSession, path: str, make) -> DataFrame:
 
 
 def step0(spark: SparkSession, vcfs: list[tuple[str, str]], out: str, size: int = 20_000_000, small: int = 20, **params) -> DataFrame:
-    """(large_job_id, small_job_id, block, region_start, region_end, vcf_path); parameters are kept beside it."""
+    """(large_job_id, small_job_id, block, chrom, large_start, large_end, region_start, region_end, vcf_path); parameters are kept beside it.
+
+    A large region is a block and has up to ``small`` small regions. ``vcfs`` gives a chromosome and a
+    file; only that chromosome of the file is planned, or each that it has for ``all``.
+    """
 
     def make() -> DataFrame:
         jobs = None
         for chrom, path in vcfs:
-            pos = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != "")).select(F.get(F.split("value", "\t"), F.lit(1)).try_cast("long").alias("pos"))
-            extent = pos.agg(F.min("pos").alias("start"), F.max("pos").alias("end")).where("start IS NOT NULL").withColumn("chrom", F.lit(chrom))
-            rows = region_partitions(extent, size).withColumn("vcf_path", F.lit(path))
-            jobs = rows if jobs is None else jobs.unionByName(rows)
+            f = F.split("value", "\t", 3)
+            rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != "")).select(F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).try_cast("long").alias("pos"))
+            rows = rows if chrom == "all" else rows.where(plain_chrom(F.col("chrom")) == chrom.lower().removeprefix("chr"))
+            extent = rows.groupBy("chrom").agg(F.min("pos").alias("start"), F.max("pos").alias("end")).where("start IS NOT NULL")
+            part = region_partitions(extent, size).withColumn("vcf_path", F.lit(path))
+            jobs = part if jobs is None else jobs.unionByName(part)
         name = F.concat(F.col("chrom"), F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"))
-        return jobs.select(name.alias("block"), "chrom", F.col("start").alias("region_start"), F.col("end").alias("region_end"), "vcf_path")
+        large = jobs.select(name.alias("block"), "chrom", F.col("start").alias("large_start"), F.col("end").alias("large_end"), "vcf_path")
+        large = large.withColumn("large_job_id", F.row_number().over(Window.orderBy("chrom", "large_start", "vcf_path")) - 1)  # a row a region
+        span = F.col("large_end") - F.col("large_start") + 1
+        cut = lambda i: F.col("large_start") + F.floor(span * i / F.col("parts")).cast("long")
+        rows = large.withColumn("parts", F.least(F.lit(small).cast("long"), span)).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+        rows = rows.withColumn("region_start", cut(F.col("part"))).withColumn("region_end", cut(F.col("part") + 1) - 1)
+        return rows.withColumn("small_job_id", F.row_number().over(Window.orderBy("large_job_id", "part")) - 1).drop("parts", "part")
 
     plan = _once(spark, f"{out}/jobs", make)
     kept = json.dumps({k: v for k, v in params.items() if v is not None} | {"size": size, "small": small})
@@ -60,24 +73,29 @@ def step1(spark: SparkSession, out: str) -> GenotypeMatrix:
     p = _params(spark, out)
     jobs = spark.read.parquet(f"{out}/jobs")
     if not all(_exists(spark, f"{out}/{t}") for t in ("cells", "variants", "haps")):
-        paths = [r["vcf_path"] for r in jobs.select("vcf_path").distinct().collect()]  # one a file
-        parts = []
+        paths = sorted(r["vcf_path"] for r in jobs.select("vcf_path").distinct().collect())  # one a file
+        order = vcf_samples(spark, paths[0])
+        for path in paths[1:]:
+            if sorted(own := vcf_samples(spark, path)) != sorted(order):
+                raise ValueError(f"{path} doesn't have the samples of {paths[0]}: {', '.join(sorted(set(own) ^ set(order))[:5]) or 'some are repeated'}")
+        sex = read_sex(spark, p["sex"]) if p.get("sex") else None
+        how = {"samples": p.get("samples"), "maf": p.get("maf"), "phased": p.get("phased", True), "remove_indels": bool(p.get("remove_indels")), "remove_multiallelics": bool(p.get("remove_multiallelics"))}
+        spans = jobs.select(F.col("chrom").alias("job_chrom"), "large_start", "large_end", F.col("block").alias("job_block"), "vcf_path").distinct()
+        variants = cells = haps = None
         for path in paths:
-            m = read_vcf(spark, path, samples=p.get("samples"), maf=p.get("maf"), remove_indels=bool(p.get("remove_indels")), remove_multiallelics=bool(p.get("remove_multiallelics")))
-            parts.append(m.flip_minor() if str(p.get("flip_minor_alleles", False)).lower() in ("true", "1") else m)
-        spans = jobs.select(F.col("chrom").alias("job_chrom"), "region_start", "region_end", F.col("block").alias("job_block"), "vcf_path")
-        variants = None
-        for path, m in zip(paths, parts, strict=True):
-            own = m.variants.join(F.broadcast(spans.where(F.col("vcf_path") == path)), F.col("pos").between(F.col("region_start"), F.col("region_end")))  # a row a region
+            m = read_vcf(spark, path, order=order, sex=sex, **how)
+            m = m.flip_minor() if str(p.get("flip_minor_alleles", False)).lower() in ("true", "1") else m
+            own = m.variants.join(spans.where(F.col("vcf_path") == path), (F.col("chrom") == F.col("job_chrom")) & F.col("pos").between(F.col("large_start"), F.col("large_end")))
             own = own.withColumn("block", F.col("job_block")).select(*m.variants.columns)
             variants = own if variants is None else variants.unionByName(own)
-        cells = parts[0].calls
-        for m in parts[1:]:
-            cells = cells.unionByName(m.calls)
-        _once(spark, f"{out}/variants", lambda: variants)
+            cells = m.calls.select("variant_idx", "hap_idx") if cells is None else cells.unionByName(m.calls.select("variant_idx", "hap_idx"))
+            haps = haps or m.haps
+        # A variant that several files list is one variant, in one block, with the carriers of all.
+        first = variants.groupBy("variant_idx").agg(F.min(F.struct("block", *[c for c in variants.columns if c not in ("variant_idx", "block")])).alias("v")).select("variant_idx", "v.*")
+        _once(spark, f"{out}/variants", lambda: first.select(*variants.columns))
         known = spark.read.parquet(f"{out}/variants").select("variant_idx", "block")
-        _once(spark, f"{out}/cells", lambda: cells.join(known, "variant_idx"))
-        _once(spark, f"{out}/haps", lambda: parts[0].haps)
+        _once(spark, f"{out}/cells", lambda: cells.distinct().join(known, "variant_idx"))
+        _once(spark, f"{out}/haps", lambda: haps)
     read = lambda t: spark.read.parquet(f"{out}/{t}")
     return GenotypeMatrix(read("cells").select("variant_idx", "hap_idx"), read("variants"), read("haps"))
 
@@ -124,7 +142,7 @@ def step5(spark: SparkSession, out: str, store: str) -> None:
     if bad:
         raise ValueError(f"the graph doesn't give the matrix's counts in {', '.join(bad)}")
     write_store(step1(spark, out), store)
-    for t in ("edges", "sample_edges", "individual_edges"):
+    for t in ("reps", "edges", "sample_edges", "individual_edges"):
         spark.read.parquet(f"{out}/{t}").repartition("block").write.mode("errorifexists").partitionBy("block").parquet(f"{store}/{t}")
 
 

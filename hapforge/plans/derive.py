@@ -55,9 +55,9 @@ def coarse(spark: SparkSession, sf_dir: str, flipped: bool = False) -> GenotypeM
     return GenotypeMatrix(cells, variants, haplotypes(spark, sf_dir))
 
 
-def nested(spark: SparkSession, sf_dir: str, brands: tuple[str, ...] = ("Brand#1", "Brand#2")) -> DataFrame:
-    """(block, v, hap_idx) of carriers that nest: a brand, its lines of growing quantity, and its types."""
-    x = lines(spark, sf_dir).where(F.col("p_brand").isin(*brands))
+def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(block, v, hap_idx) of carriers that nest, a block for each brand: the brand, its lines of growing quantity, and its types."""
+    x = lines(spark, sf_dir)
     names = F.array_union(
         F.array(F.concat("p_brand", F.lit(":any")), F.concat_ws(":", "p_brand", "p_type")),
         F.transform(F.filter(F.array(*[F.lit(t) for t in (1, 10, 20, 30, 40)]), lambda t: F.col("l_quantity") >= t), lambda t: F.concat(F.col("p_brand"), F.lit(":q"), t.cast("string"))),

@@ -12,11 +12,15 @@ from hapforge.operators import graph, structure
 from hapforge.operators import variants as var
 from hapforge.operators.matrix import GenotypeMatrix, binarize
 from hapforge.plans import derive
+from hapforge.shared import materialize
 from hapforge.sources.store import threshold_histogram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+#: Least correlation of dosage and call: some variants of the query below have more, others less.
+_LEAST_R = 0.92
+
 # --- statements that several oracles start from ------------------------------------------------
 
 _LINES = """x AS (SELECT CAST(o_custkey * 2 + (l_linenumber % 2) AS BIGINT) AS hap_idx, p_brand, p_type, p_size, l_quantity
@@ -37,9 +41,9 @@ stored AS (SELECT variant_idx, COUNT(*) AS k FROM calls GROUP BY variant_idx)"""
 _PHENO = """pheno AS (SELECT CAST(c_custkey AS VARCHAR) AS iid, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_acctbal END AS bal, c_acctbal AS acctbal,
   CAST(c_nationkey AS DOUBLE) AS nation, spend FROM customer LEFT JOIN (SELECT o_custkey, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS spend FROM orders GROUP BY 1) ON o_custkey = c_custkey)"""
 _NESTED = f"""{_LINES},
-cells AS (SELECT DISTINCT p_brand AS block, hap_idx, p_brand || ':any' AS v FROM x WHERE p_brand IN ('Brand#1', 'Brand#2')
-  UNION SELECT DISTINCT p_brand, hap_idx, p_brand || ':q' || t FROM x JOIN (VALUES (1), (10), (20), (30), (40)) q(t) ON l_quantity >= t WHERE p_brand IN ('Brand#1', 'Brand#2')
-  UNION SELECT DISTINCT p_brand, hap_idx, p_brand || ':' || p_type FROM x WHERE p_brand IN ('Brand#1', 'Brand#2')),
+cells AS (SELECT DISTINCT p_brand AS block, hap_idx, p_brand || ':any' AS v FROM x
+  UNION SELECT DISTINCT p_brand, hap_idx, p_brand || ':q' || t FROM x JOIN (VALUES (1), (10), (20), (30), (40)) q(t) ON l_quantity >= t
+  UNION SELECT DISTINCT p_brand, hap_idx, p_brand || ':' || p_type FROM x),
 cn AS (SELECT block, v, COUNT(*) AS n FROM cells GROUP BY block, v),
 contained AS (SELECT a.block, a.v AS child, b.v AS parent, ca.n AS n_child, cb.n AS n_parent FROM cells a JOIN cells b ON a.block = b.block AND a.hap_idx = b.hap_idx AND a.v <> b.v
   JOIN cn ca ON ca.block = a.block AND ca.v = a.v JOIN cn cb ON cb.block = b.block AND cb.v = b.v GROUP BY ALL HAVING COUNT(*) = ca.n),
@@ -176,15 +180,15 @@ def column_variance(spark, sf):
 
 @_query(
     "binarize",
-    """WITH d AS (SELECT CAST(l_partkey % 50 AS INT) AS variant_idx, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS hap_idx, l_discount * 20 AS dosage FROM lineitem),
+    f"""WITH d AS (SELECT CAST(l_partkey % 50 AS INT) AS variant_idx, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS hap_idx, l_discount * 20 AS dosage FROM lineitem),
 r AS (SELECT *, CAST(round_even(dosage, 0) AS INT) AS call FROM d),
-k AS (SELECT variant_idx FROM r GROUP BY 1 HAVING corr(dosage, call) >= 0.97)
+k AS (SELECT variant_idx FROM r GROUP BY 1 HAVING corr(dosage, call) >= {_LEAST_R})
 SELECT variant_idx, COUNT(*) AS n, CAST(SUM(call) AS BIGINT) AS calls FROM r JOIN k USING (variant_idx) GROUP BY 1""",
 )
 def binarized(spark, sf):
     li = derive.table(spark, sf, "lineitem")
     d = li.select((F.col("l_partkey") % 50).cast("int").alias("variant_idx"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("hap_idx"), (F.col("l_discount") * 20).alias("dosage"))
-    return binarize(d, 0.97).groupBy("variant_idx").agg(F.count(F.lit(1)).alias("n"), F.sum("call").alias("calls"))
+    return binarize(d, _LEAST_R).groupBy("variant_idx").agg(F.count(F.lit(1)).alias("n"), F.sum("call").alias("calls"))
 
 
 # --- filters, listings and joins --------------------------------------------------------------
@@ -262,7 +266,15 @@ def merge_inner(spark, sf):
 def row_filter(spark, sf):
     o = derive.table(spark, sf, "orders")
     c = derive.table(spark, sf, "customer")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_semi").select("c_custkey")
+    return var.rows_with_match(c.withColumn("k", F.col("c_custkey")), o.withColumn("k", F.col("o_custkey")), "k").select("c_custkey")
+
+
+@_query("merge_chain", "SELECT CAST(c_custkey AS BIGINT) AS left_row, l_orderkey * 8 + l_linenumber AS right_row FROM customer JOIN orders ON c_custkey = o_custkey JOIN (SELECT o_custkey AS k, l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1) t ON t.k = c_custkey")
+def merge_chain(spark, sf):
+    c, o, li = (derive.table(spark, sf, t) for t in ("customer", "orders", "lineitem"))
+    left = c.select(F.col("c_custkey").alias("k"), F.col("c_custkey").alias("row"))
+    first = li.where("l_linenumber = 1").join(o, li.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("k"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row"))
+    return var.merge_chain([left, o.select(F.col("o_custkey").alias("k")), first], "k")
 
 
 @_query("remove_samples", f"WITH {_FINE}, kept AS (SELECT * FROM haps WHERE CAST(iid AS INT) % 4 <> 0) SELECT v.variant_idx, COUNT(k.hap_idx) AS ac FROM variants v LEFT JOIN calls c USING (variant_idx) LEFT JOIN kept k USING (hap_idx) GROUP BY 1")
@@ -472,22 +484,47 @@ def gwas_flipped(spark, sf):
     return out.select("variant_idx", _r("acctbal_beta", 6), _r("acctbal_se", 6))
 
 
-@_query("gwas_multi_trait")
-def gwas_multi_trait(spark, sf):
-    out = assoc.gwas(derive.fine(spark, sf), assoc.with_intercept(derive.phenotypes(spark, sf)), ["bal", "spend", "acctbal"], ["i0", "nation"])
-    return out.select("variant_idx", *[_r(c, 6) for c in out.columns[1:]])
+_TRAITS = ("bal", "spend", "acctbal")
 
 
 @_query(
-    "simple_gwas",
-    f"""WITH {_FINE}, {_PHENO}, {_ONE.format(y='acctbal')} SELECT v.variant_idx, ROUND(regr_slope(p.y, CASE WHEN c.hap_idx IS NULL THEN 0.0 ELSE 1.0 END), 6) AS beta,
-  ROUND(sqrt((regr_syy(p.y, CASE WHEN c.hap_idx IS NULL THEN 0.0 ELSE 1.0 END) - regr_slope(p.y, CASE WHEN c.hap_idx IS NULL THEN 0.0 ELSE 1.0 END) * regr_sxy(p.y, CASE WHEN c.hap_idx IS NULL THEN 0.0 ELSE 1.0 END)) / (COUNT(*) - 2) / regr_sxx(p.y, CASE WHEN c.hap_idx IS NULL THEN 0.0 ELSE 1.0 END)), 6) AS se
-FROM variants v CROSS JOIN ph p LEFT JOIN calls c ON c.variant_idx = v.variant_idx AND c.hap_idx = p.hap_idx WHERE v.chrom IN ('1', '2') GROUP BY 1""",
+    "gwas_multi_trait",
+    f"""WITH {_FINE}, {_PHENO}, w AS (SELECT AVG(nation) AS mean FROM pheno), ph AS (SELECT hap_idx, coalesce(nation, mean) AS c, bal, spend, acctbal FROM haps JOIN pheno USING (iid) CROSS JOIN w),
+a AS (SELECT COUNT(*) AS n, SUM(c) AS sc, SUM(c * c) AS scc FROM ph),
+"""
+    + ", ".join(
+        f"""s_{t} AS (SELECT COUNT({t}) AS n, SUM({t}) AS sy, SUM(CASE WHEN {t} IS NOT NULL THEN c END) AS sc, SUM(CASE WHEN {t} IS NOT NULL THEN c * c END) AS scc, SUM(c * {t}) AS scy, SUM({t} * {t}) AS syy FROM ph),
+m_{t} AS (SELECT *, (scc * sy - sc * scy) / (n * scc - sc * sc) AS b0, (n * scy - sc * sy) / (n * scc - sc * sc) AS b1 FROM s_{t}),
+r_{t} AS (SELECT hap_idx, {t} - b0 - b1 * c AS r FROM ph CROSS JOIN m_{t} WHERE {t} IS NOT NULL)"""
+        for t in _TRAITS
+    )
+    + """,
+v AS (SELECT x.variant_idx, x.af, COUNT(p.hap_idx) AS k, coalesce(SUM(p.c), 0) AS xc, """
+    + ", ".join(f"coalesce(SUM(r_{t}.r), 0) AS x_{t}" for t in _TRAITS)
+    + " FROM ac x LEFT JOIN calls c USING (variant_idx) LEFT JOIN ph p ON p.hap_idx = c.hap_idx "
+    + " ".join(f"LEFT JOIN r_{t} ON r_{t}.hap_idx = c.hap_idx" for t in _TRAITS)
+    + """ GROUP BY 1, 2),
+d AS (SELECT *, k - (scc * k * k - 2 * sc * k * xc + n * xc * xc) / (n * scc - sc * sc) AS den FROM v CROSS JOIN a)
+SELECT variant_idx, ROUND(af, 3) AS a1freq, """
+    + ", ".join(f"CASE WHEN den >= 1e-4 THEN ROUND(x_{t} / den, 3) END AS {t}_beta, CASE WHEN den >= 1e-4 THEN ROUND(sqrt((SELECT (syy - b0 * sy - b1 * scy) / (n - 4) FROM m_{t}) / den), 3) END AS {t}_se" for t in _TRAITS)
+    + " FROM d",
 )
+def gwas_multi_trait(spark, sf):
+    out = assoc.gwas(derive.fine(spark, sf), assoc.with_intercept(derive.phenotypes(spark, sf)), list(_TRAITS), ["i0", "nation"])
+    return out.select("variant_idx", *[_r(c, 3) for c in out.columns[1:]])
+
+
+_SIMPLE_SQL = "t AS (SELECT *, CASE WHEN flip THEN n - k ELSE k END AS a, CASE WHEN flip THEN sy - xy ELSE xy END AS axy FROM v CROSS JOIN s), d AS (SELECT *, a - a * CAST(a AS DOUBLE) / n AS var, (axy - a * sy / n) / (a - a * CAST(a AS DOUBLE) / n) AS beta FROM t) SELECT variant_idx, ROUND(beta, 6) AS beta, ROUND(sqrt(((syy - sy * sy / n) - beta * beta * var) / (n - 2) / var), 6) AS se FROM d"
+
+
+@_query("simple_gwas", f"WITH {_FINE}, {_PHENO}, {_ONE.format(y='acctbal')}, v AS (SELECT a.variant_idx, FALSE AS flip, COUNT(p.hap_idx) AS k, coalesce(SUM(p.y), 0) AS xy FROM ac a LEFT JOIN calls c USING (variant_idx) LEFT JOIN ph p ON p.hap_idx = c.hap_idx GROUP BY 1), {_SIMPLE_SQL}")
 def simple_gwas(spark, sf):
-    m = derive.fine(spark, sf)
-    m = m.with_variants(m.variants.where(F.col("chrom").isin("1", "2")))
-    return assoc.simple_gwas(m, derive.phenotypes(spark, sf), "acctbal").select("variant_idx", _r("beta", 6), _r("se", 6))
+    return assoc.simple_gwas(derive.fine(spark, sf), derive.phenotypes(spark, sf), "acctbal").select("variant_idx", _r("beta", 6), _r("se", 6))
+
+
+@_query("simple_gwas_flipped", f"WITH {_COARSE}, {_PHENO}, {_ONE.format(y='acctbal')}, v AS (SELECT v.variant_idx, ANY_VALUE(v.flip) AS flip, COUNT(p.hap_idx) AS k, coalesce(SUM(p.y), 0) AS xy FROM variants v LEFT JOIN calls c USING (variant_idx) LEFT JOIN ph p ON p.hap_idx = c.hap_idx GROUP BY 1), {_SIMPLE_SQL}")
+def simple_gwas_flipped(spark, sf):
+    return assoc.simple_gwas(derive.coarse(spark, sf, flipped=True), derive.phenotypes(spark, sf), "acctbal").select("variant_idx", _r("beta", 6), _r("se", 6))
 
 
 @_query(
@@ -512,51 +549,110 @@ def he_exact_traces(spark, sf):
     return spark.createDataFrame([(round(t1, 2), float(round(t2, 0)))], "tr_k double, tr_k2 double")
 
 
-def _few(spark, sf) -> GenotypeMatrix:
-    return derive.coarse(spark, sf)
+def _unit(key: str, seed: str) -> str:
+    """A statement's form of ``hashed_uniform``."""
+    return f"((('0x' || substr(md5({seed} || '|' || {key}), 1, 13))::BIGINT + 0.5) / {float(1 << 52)})"
+
+
+def _normal(key: str, seed: str) -> str:
+    return f"(sqrt(-2 * ln({_unit(key, f'(({seed}) * 2 + 1000003)')})) * cos(2 * pi() * {_unit(key, f'(({seed}) * 2 + 1000004)')}))"
+
 
+_PRODUCTS = 20
+#: K x for x (iid, i, x) in ``{x}``: centred and weighted products over all variants, halved, less the mean.
+_KX = """{out}_w AS (SELECT a.variant_idx, al.i, a.af, (coalesce(t.x, 0) - a.af * al.s) / (a.af * (1 - a.af)) AS w FROM (SELECT i, SUM(2 * x) AS s FROM {x} GROUP BY i) al CROSS JOIN ac a
+  LEFT JOIN (SELECT c.variant_idx, q.i AS j, SUM(q.x) AS x FROM calls c JOIN haps USING (hap_idx) JOIN {x} q USING (iid) GROUP BY 1, 2) t ON t.variant_idx = a.variant_idx AND t.j = al.i WHERE a.af > 0 AND a.af < 1),
+{out}_m AS (SELECT i, SUM(af * w) AS m FROM {out}_w GROUP BY i),
+{out}_r AS (SELECT p.iid, m.i, coalesce(t.x, 0) / 2 - m.m AS x FROM (SELECT DISTINCT iid FROM pheno) p CROSS JOIN {out}_m m LEFT JOIN (SELECT iid, i, SUM(w) AS x FROM calls JOIN haps USING (hap_idx) JOIN {out}_w USING (variant_idx) GROUP BY 1, 2) t ON t.iid = p.iid AND t.i = m.i),
+{out} AS (SELECT iid, i, x - AVG(x) OVER (PARTITION BY i) AS x FROM {out}_r)"""
 
-for _est in ("hutchinson", "hutch++", "xnystrace"):
+
+@_query(
+    "rhe_hutchinson",
+    f"""WITH {_FINE}, {_PHENO},
+z AS (SELECT iid, i, {_normal('iid', '1 + 7919 * i')} AS x FROM pheno CROSS JOIN (SELECT unnest(range({_PRODUCTS})) AS i) r),
+p AS (SELECT iid, i, x - AVG(x) OVER (PARTITION BY i) AS x FROM z),
+{_KX.format(x='p', out='kp')},
+t AS (SELECT (SELECT SUM(p.x * kp.x) FROM p JOIN kp USING (iid, i)) / {_PRODUCTS} AS t1, (SELECT SUM(x * x) FROM kp) / {_PRODUCTS} AS t2, (SELECT COUNT(*) FROM pheno) AS n),
+raw AS (SELECT iid, 0 AS i, acctbal AS x FROM pheno UNION ALL SELECT iid, 1, coalesce(spend, 0) FROM pheno),
+cen AS (SELECT iid, i, x - AVG(x) OVER (PARTITION BY i) AS x FROM raw),
+y AS (SELECT iid, i, x * sqrt((CASE WHEN i = 0 THEN (SELECT COUNT(acctbal) FROM pheno) ELSE (SELECT COUNT(spend) FROM pheno) END) / SUM(x * x) OVER (PARTITION BY i)) AS x FROM cen),
+{_KX.format(x='y', out='ky')},
+q AS (SELECT i, SUM(y.x * y.x) AS q0, SUM(y.x * ky.x) AS q1 FROM y JOIN ky USING (iid, i) GROUP BY i),
+sol AS (SELECT i, t1 * (n * q1 - t1 * q0) / (n * t2 - t1 * t1) AS s2g, q0 * (t2 * q0 - t1 * q1) / (n * t2 - t1 * t1) AS s2e FROM q CROSS JOIN t)
+SELECT CASE WHEN i = 0 THEN 'acctbal' ELSE 'spend' END AS phenotype, ROUND(s2g, 3) AS s2g, ROUND(s2e, 3) AS s2e, ROUND(s2g / (s2g + s2e), 5) AS h2g FROM sol""",
+)
+def rhe_hutchinson(spark, sf):
+    out = assoc.haseman_elston(derive.fine(spark, sf), assoc.with_intercept(derive.phenotypes(spark, sf)), ["acctbal", "spend"], ["i0"], num_matvecs=_PRODUCTS, estimator="hutchinson")
+    return out.select("phenotype", _r("s2g", 3), _r("s2e", 3), _r("h2g", 5))
+
+
+for _est in ("hutch++", "xnystrace"):  # an eigenvalue problem each: held against dense matrices in the tests
 
     @_query(f"rhe_{_est.replace('++', 'pp')}")
     def _rhe(spark, sf, est=_est):
-        return assoc.haseman_elston(_few(spark, sf), assoc.with_intercept(derive.phenotypes(spark, sf)), ["acctbal", "spend"], ["i0"], num_matvecs=12, estimator=est)
+        return assoc.haseman_elston(derive.fine(spark, sf), assoc.with_intercept(derive.phenotypes(spark, sf)), ["acctbal", "spend"], ["i0"], num_matvecs=_PRODUCTS, estimator=est)
+
 
+@_query(
+    "rhe_exact",
+    f"""WITH {_FINE}, {_PHENO}, cen AS (SELECT iid, 0 AS i, acctbal - AVG(acctbal) OVER () AS x FROM pheno), y AS (SELECT iid, i, x * sqrt(COUNT(*) OVER () / SUM(x * x) OVER ()) AS x FROM cen),
+{_KX.format(x='y', out='ky')},
+q AS (SELECT SUM(y.x * y.x) AS q0, SUM(y.x * ky.x) AS q1, COUNT(*) AS n FROM y JOIN ky USING (iid, i)),
+sol AS (SELECT 1000.0 * (n * q1 - 1000.0 * q0) / (n * 5000000.0 - 1e6) AS s2g, q0 * (5000000.0 * q0 - 1000.0 * q1) / (n * 5000000.0 - 1e6) AS s2e FROM q)
+SELECT 'acctbal' AS phenotype, ROUND(s2g, 4) AS s2g, ROUND(s2e, 3) AS s2e FROM sol""",
+)
+def rhe_exact(spark, sf):
+    """The moment equations alone, with both traces given."""
+    out = assoc.haseman_elston(derive.fine(spark, sf), assoc.with_intercept(derive.phenotypes(spark, sf)), ["acctbal"], ["i0"], exact=(1000.0, 5e6))
+    return out.select("phenotype", _r("s2g", 4), _r("s2e", 3))
 
-@_query("blup")
+
+@_query("blup")  # a linear system in K: held against a dense solution in the tests
 def blup(spark, sf):
-    return assoc.blup(_few(spark, sf), derive.phenotypes(spark, sf), "acctbal", 0.5, steps=6)
+    return assoc.blup(derive.fine(spark, sf), derive.phenotypes(spark, sf), "acctbal", 0.5)
 
 
-@_query("simulate_phenotype")
+@_query(
+    "simulate_phenotype",
+    f"""WITH {_FINE}, b AS (SELECT variant_idx, {_normal('variant_idx', '1')} * CASE WHEN {_unit('variant_idx', '2')} < 0.5 THEN 1.0 ELSE 0.0 END AS b FROM variants),
+g AS (SELECT iid, coalesce(SUM(b), 0) AS g FROM haps LEFT JOIN (calls JOIN b USING (variant_idx)) USING (hap_idx) GROUP BY iid),
+s AS (SELECT iid, (g - AVG(g) OVER ()) * sqrt(0.4) / stddev_pop(g) OVER () AS genetic FROM g)
+SELECT iid, ROUND(genetic, 6) AS genetic, ROUND(genetic + {_normal('iid', '3')} * sqrt(1 - 0.4), 6) AS y FROM s""",
+)
 def simulate_phenotype(spark, sf):
-    return assoc.simulate_phenotype(_few(spark, sf), 0.4, 0.5)
+    return assoc.simulate_phenotype(derive.fine(spark, sf), 0.4, 0.5).select("iid", _r("genetic", 6), _r("y", 6))
 
 
-@_query("pca")
+@_query("pca")  # eigenvalue problems, both: held against dense matrices in the tests
 def pca(spark, sf):
-    values, _ = structure.pca(_few(spark, sf), 3, steps=8)
+    values, _ = structure.pca(derive.fine(spark, sf), 3)
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "component int, eigenvalue double")
 
 
 @_query("svd")
 def svd(spark, sf):
-    return structure.svd(_few(spark, sf), 3, steps=8)[2]
+    return structure.svd(derive.fine(spark, sf), 3)[2]
+
+
+@_query("genotype_variances", f"WITH {_FINE}, d AS (SELECT variant_idx, iid, COUNT(*) AS dose FROM calls JOIN haps USING (hap_idx) GROUP BY 1, 2) SELECT v.variant_idx, CAST(coalesce(SUM(dose * dose), 0) AS BIGINT) AS variance, COUNT(dose) AS carriers FROM variants v LEFT JOIN d USING (variant_idx) GROUP BY 1")
+def genotype_variances(spark, sf):
+    return derive.fine(spark, sf).genotype_variances()
 
 
 # --- graphs -----------------------------------------------------------------------------------
 
 
 def _graph(spark, sf):
-    cells = derive.nested(spark, sf)
-    contained = graph.containment(cells)
-    reps = graph.representatives(cells, contained)
-    return cells, contained, reps, graph.closure(contained, reps)
+    cells = materialize(derive.nested(spark, sf), "nested")
+    contained = materialize(graph.containment(cells), "contained")
+    reps = materialize(graph.representatives(cells, contained), "reps")
+    return cells, contained, reps, materialize(graph.closure(contained, reps), "closed")
 
 
 @_query("containment_pairs", f"WITH {_NESTED} SELECT * FROM contained")
 def containment_pairs(spark, sf):
-    return graph.containment(derive.nested(spark, sf))
+    return graph.containment(materialize(derive.nested(spark, sf), "nested"))
 
 
 @_query("identical_variants", f"WITH {_NESTED} SELECT * FROM reps")
@@ -651,10 +747,11 @@ def trio_cliques(spark, sf):
     return graph.trio_cliques(cells.select("block", F.col("hap_idx").cast("string").alias("child"), F.col("v").alias("parent")))
 
 
-@_query("recombination", f"WITH {_NESTED} SELECT block, CAST(hap_idx AS VARCHAR) AS child, v AS parent FROM cells")
+@_query("recombination", f"WITH {_NESTED} SELECT block, CAST(hap_idx AS VARCHAR) AS child, v AS parent, CAST(1 AS BIGINT) AS shared FROM cells")
 def recombination(spark, sf):
-    """Factored and expanded again: what every haplotype reaches must be what it carries."""
-    cells = derive.nested(spark, sf)
-    edges = graph.factor_recombinations(cells.select("block", F.col("hap_idx").cast("string").alias("child"), F.col("v").alias("parent")))
+    """Factored and expanded again: what every haplotype reaches must be what it carries, and no pair of neighbouring parents may be shared any more."""
+    cells = materialize(derive.nested(spark, sf), "nested")
+    edges = materialize(graph.factor_recombinations(cells.select("block", F.col("hap_idx").cast("string").alias("child"), F.col("v").alias("parent"))), "factored")
     reach = graph.transitive_closure(edges)
-    return reach.where("child NOT LIKE '%~r%' AND parent NOT LIKE '%~r%'").join(edges.where("child LIKE '%~r%'").select("block", "child").distinct(), ["block", "child"], "left_anti")
+    reach = reach.where("child NOT LIKE '%~r%' AND parent NOT LIKE '%~r%'").join(edges.where("child LIKE '%~r%'").select("block", "child").distinct(), ["block", "child"], "left_anti")
+    return reach.join(graph.clique_sizes(edges).withColumnRenamed("size", "shared"), "block")

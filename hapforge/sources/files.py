@@ -75,20 +75,33 @@ def read_sex(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.posexplode(F.filter(F.split("value", r"\s+"), lambda x: x != "")).alias("row", "sex")).select("row", F.col("sex").cast("int").alias("sex"))
 
 
+def _header(spark: SparkSession, path: str) -> list[str]:
+    header = spark.read.text(path).where(F.col("value").startswith("#CHROM")).first()
+    if header is None:
+        raise ValueError("the VCF has no #CHROM line")
+    return header["value"].split("\t")
+
+
+def vcf_samples(spark: SparkSession, path: str) -> list[str]:
+    """The samples of a VCF in its own order."""
+    return _header(spark, path)[9:]
+
+
 def read_vcf(
-    spark: SparkSession, path: str, *, phased: bool = True, region: str | None = None, flip_minor_alleles: bool = False, samples: list[str] | None = None, maf: float | None = None,
+    spark: SparkSession, path: str, *, order: list[str] | None = None, phased: bool = True, region: str | None = None, flip_minor_alleles: bool = False, samples: list[str] | None = None, maf: float | None = None,
     remove_indels: bool = False, remove_multiallelics: bool = False, sex: DataFrame | None = None, block: str | None = None,
 ) -> GenotypeMatrix:
     """Haplotypes of a VCF text as relations. A carrier has an allele above 0; a missing allele is no carrier.
 
     ``region`` is ``chrom:start-end`` with both ends inside. Unphased genotypes give one row a sample
-    whose cell counts once if any allele is above 0.
+    whose cell counts once if any allele is above 0. Haplotypes are numbered by the place of their
+    sample in ``order``, which is that of the file if not given; rows of ``sex`` go by it as well.
     """
     lines = spark.read.text(path).where("value <> ''")
-    header = lines.where(F.col("value").startswith("#CHROM")).first()
-    if header is None:
-        raise ValueError("the VCF has no #CHROM line")
-    names = header["value"].split("\t")[9:]
+    names = vcf_samples(spark, path)
+    number = {n: i for i, n in enumerate(names if order is None else order)}
+    if missing := [n for n in names if n not in number]:
+        raise ValueError(f"samples {', '.join(missing[:5])} of {path} aren't in the given order")
     chosen = [n for n in names if samples is None or n in set(samples)]
     if not chosen:
         raise ValueError("none of the samples is in the VCF")
@@ -107,19 +120,20 @@ def read_vcf(
         rows = rows.where(is_biallelic(F.col("alt")))
     key = F.xxhash64("chrom", "pos", "id", "ref", "alt")
     rows = rows.withColumn("variant_idx", key)
-    people = spark.createDataFrame([(i, n) for i, n in enumerate(names) if n in set(chosen)], "person long, iid string")
+    picked = set(chosen)
+    people = spark.createDataFrame([(i, number[n], n) for i, n in enumerate(names) if n in picked], "person long, number long, iid string")
     if sex is not None:
-        people = people.join(sex.select(F.col("row").cast("long").alias("person"), "sex"), "person", "left").na.fill(0, ["sex"])
+        people = people.join(sex.select(F.col("row").cast("long").alias("number"), "sex"), "number", "left").na.fill(0, ["sex"])
     else:
         people = people.withColumn("sex", F.lit(0))
     haps = people.withColumn("hap", F.explode(F.array(F.lit(0), F.lit(1)) if phased else F.array(F.lit(0))))
-    haps = haps.select((F.col("person") * (2 if phased else 1) + F.col("hap")).alias("hap_idx"), "iid", "hap", "sex")
+    haps = haps.select((F.col("number") * (2 if phased else 1) + F.col("hap")).alias("hap_idx"), "iid", "hap", "sex")
     cells = rows.select("variant_idx", F.col("gt").cast("int").alias("gt"), F.posexplode("calls").alias("person", "call"))
     cells = cells.select("variant_idx", "person", F.split(F.get(F.split("call", ":"), F.col("gt") - 1), r"[|/]").alias("alleles"))
     allele = F.posexplode("alleles").alias("hap", "allele")
     cells = cells.select("variant_idx", "person", allele).where(F.coalesce(F.col("allele").try_cast("int"), F.lit(0)) > 0).where("hap < 2")
-    hap_idx = (F.col("person") * 2 + F.col("hap")) if phased else F.col("person")
-    cells = cells.select("variant_idx", hap_idx.cast("long").alias("hap_idx")).distinct().join(haps.select("hap_idx"), "hap_idx", "left_semi")
+    hap_idx = (F.col("number") * 2 + F.col("hap")) if phased else F.col("number")
+    cells = cells.join(people.select("person", "number"), "person").select("variant_idx", hap_idx.cast("long").alias("hap_idx")).distinct()
     variants = rows.select("variant_idx", "chrom", "pos", "id", "ref", "alt", F.lit(False).alias("flip"), (F.lit(block) if block else F.col("chrom")).alias("block")).dropDuplicates(["variant_idx"])
     matrix = GenotypeMatrix(cells, variants, haps)
     if sex is not None:
@@ -130,6 +144,18 @@ def read_vcf(
     return matrix.flip_minor() if flip_minor_alleles else matrix
 
 
+def write_trio(entries: DataFrame, samples: DataFrame, variants: DataFrame, shape: tuple[int, int], prefix: str) -> None:
+    """<prefix>.mtx, .psam and .pvar as ``read_trio`` takes them; each is a folder of text files whose first file starts with the head."""
+    spark = entries.sparkSession
+    body = entries.select(F.format_string("%d %d %s", F.col("row") + 1, F.col("col") + 1, F.col("value").cast("string")).alias("value"))
+    head = spark.createDataFrame([("%%MatrixMarket matrix coordinate real general",), (f"{shape[0]} {shape[1]} {entries.count()}",)], "value string").coalesce(1)
+    head.unionByName(body).write.text(f"{prefix}.mtx")
+    table = lambda df, ext: df.write.option("sep", "\t").option("header", True).csv(f"{prefix}.{ext}")
+    table(samples, "psam")
+    info = F.concat(F.lit("IDX="), F.col("idx").cast("string"), F.lit(";FLIP="), F.col("flip").cast("int").cast("string"))
+    table(variants.select(F.col("chrom").alias("#CHROM"), F.col("pos").alias("POS"), F.col("id").alias("ID"), F.col("ref").alias("REF"), F.col("alt").alias("ALT"), info.alias("INFO")), "pvar")
+
+
 def read_trio(spark: SparkSession, prefix: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entries (row, col, value) from 0, samples, variants with idx and flip) of <prefix>.mtx, .psam and .pvar."""
     body = spark.read.text(f"{prefix}.mtx").where(~F.col("value").startswith("%") & (F.trim("value") != ""))

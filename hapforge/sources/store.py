@@ -29,6 +29,18 @@ def read_store(spark: SparkSession, path: str, block: str | None = None) -> Geno
     return GenotypeMatrix(tables["calls"].select("variant_idx", "hap_idx"), tables["variants"].select(*names), spark.read.parquet(f"{path}/haps"))
 
 
+def list_iids(spark: SparkSession, path: str) -> DataFrame:
+    """(iid) of the individuals of a store, in the order of their haplotypes."""
+    haps = spark.read.parquet(f"{path}/haps")
+    return haps.groupBy("iid").agg(F.min("hap_idx").alias("at")).orderBy("at").select("iid")
+
+
+def read_graph(spark: SparkSession, path: str, block: str | None = None) -> dict[str, DataFrame]:
+    """reps, edges, sample_edges and individual_edges of a built store, as the products of ``operators.graph`` take them."""
+    tables = {t: spark.read.parquet(f"{path}/{t}").withColumn("block", F.col("block").cast("string")) for t in ("reps", "edges", "sample_edges", "individual_edges")}
+    return tables if block is None else {t: df.where(F.col("block") == block) for t, df in tables.items()}
+
+
 def list_blocks(spark: SparkSession, path: str) -> DataFrame:
     m = read_store(spark, path)
     return ordered_blocks(blocks_of(m.variants, m.calls))

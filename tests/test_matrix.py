@@ -116,21 +116,102 @@ def test_gwas_needs_an_intercept_and_people(spark, both):
         assoc.gwas(m, none, ["y"], ["i0"])
 
 
-def test_exact_traces_equal_dense(spark):
-    x, _ = dense(8, 20, 7, flips=False)
-    t1, t2 = assoc.exact_traces(matrix(spark, x, np.zeros(7, bool)))
-    f = x.mean(0)
-    z = ((x - f) / np.sqrt(np.where(f * (1 - f) > 0, f * (1 - f), np.inf))).reshape(-1, 2, 7).sum(1)
-    k = z @ z.T / 2
+def kinship(full, covar=True):
+    f = full.mean(0)
+    z = ((full - f) / np.sqrt(np.where(f * (1 - f) > 0, f * (1 - f), np.inf))).reshape(-1, 2, full.shape[1]).sum(1)
+    z = z - z.mean(0) if covar else z
+    return z @ z.T / 2
+
+
+@pytest.mark.parametrize("flips", [False, True])
+def test_exact_traces_equal_dense(spark, flips):
+    x, flip = dense(8, 20, 7, flips)
+    k = kinship(np.where(flip, 1 - x, x), covar=False)
+    t1, t2 = assoc.exact_traces(matrix(spark, x, flip))
     assert np.isclose(t1, np.trace(k)) and np.isclose(t2, np.trace(k @ k))
 
 
+@pytest.mark.parametrize("estimator,k", [("hutchinson", 40), ("hutch++", 30), ("xnystrace", 12), ("xnystrace", 30)])
+def test_estimators_are_near_the_traces(spark, estimator, k):
+    x, flip = dense(5, 120, 25)
+    m = matrix(spark, x, flip)
+    table = assoc.with_intercept(m.iids())
+    t1, t2 = assoc.traces(assoc.Kinship(m, table, ["i0"]), k, estimator, seed=3)
+    dense_k = kinship(np.where(flip, 1 - x, x))
+    assert abs(t1 / np.trace(dense_k) - 1) < 0.3 and abs(t2 / np.sum(dense_k**2) - 1) < 0.5
+    if k == 30 and estimator == "xnystrace":  # more probes than directions: exact
+        assert np.isclose(t1, np.trace(dense_k)) and np.isclose(t2, np.sum(dense_k**2))
+
+
+def test_nystrom_traces_are_unbiased():
+    rng = np.random.default_rng(0)
+    z = rng.normal(size=(200, 60)) * np.geomspace(1, 0.1, 60)
+    k = z @ z.T
+    got = []
+    for _ in range(200):
+        o = rng.normal(size=(200, 10))
+        got.append(assoc.nystrom_traces(o.T @ k @ o, o.T @ k @ k @ o))
+    assert np.allclose(np.mean(got, 0), [np.trace(k), np.sum(k * k)], rtol=0.04)
+    assert assoc.nystrom_traces(np.zeros((3, 3)), np.zeros((3, 3))) == (0.0, 0.0)
+
+
+def test_heritability_and_prediction_equal_dense(spark):
+    x, flip = dense(6, 60, 15)
+    m, k = matrix(spark, x, flip), kinship(np.where(flip, 1 - x, x))
+    y = np.random.default_rng(1).normal(size=30)
+    table = spark.createDataFrame([(f"p{i:02d}", float(v)) for i, v in enumerate(y)], "iid string, y double")
+    t1, t2, c = np.trace(k), np.sum(k * k), y - y.mean()
+    c *= np.sqrt(30 / (c @ c))
+    a, b = np.linalg.solve([[t2, t1], [t1, 30]], [c @ k @ c, c @ c])
+    got = assoc.haseman_elston(m, assoc.with_intercept(table), ["y"], ["i0"], exact=(t1, t2)).first()
+    assert np.allclose([got.s2g, got.s2e, got.h2g], [a * t1, b * 30, a * t1 / (a * t1 + b * 30)])
+    whole = np.trace(kinship(np.where(flip, 1 - x, x), covar=False))
+    scaled = k * 30 / whole
+    want = scaled @ np.linalg.solve(scaled + np.eye(30) * (0.7 / 0.3), y - y.mean())
+    assert np.allclose(as_array(assoc.blup(m, table, "y", 0.3), "iid", ["prediction"])[:, 0], want, atol=1e-3)
+    with pytest.raises(RuntimeError, match="after 1 steps"):
+        assoc.blup(m, table, "y", 0.3, steps=1)
+
+
+def test_simple_gwas_with_flips_and_empty_columns(spark, both):
+    m, full, _ = both
+    y = np.random.default_rng(2).normal(size=len(full) // 2)
+    table = spark.createDataFrame([(f"p{i:02d}", float(v)) for i, v in enumerate(y)], "iid string, y double")
+    got = {r.variant_idx: r for r in assoc.simple_gwas(m, table, "y").collect()}
+    assert len(got) == full.shape[1]
+    for j, g in enumerate(full.T):
+        if g.min() == g.max():
+            assert got[j].beta is None and got[j].se is None
+        else:
+            yy = np.repeat(y, 2)
+            beta = np.cov(g, yy)[0, 1] / np.var(g, ddof=1)
+            rss = np.sum((yy - yy.mean() - beta * (g - g.mean())) ** 2)
+            assert np.isclose(got[j].beta, beta) and np.isclose(got[j].se, np.sqrt(rss / (len(g) - 2) / np.sum((g - g.mean()) ** 2)))
+
+
+def test_heterozygotes_need_individuals(spark, both):
+    m = both[0]
+    three = GenotypeMatrix(m.calls, m.variants, m.haps.withColumn("iid", F.lit("one")))
+    table = assoc.with_intercept(spark.createDataFrame([("one", 1.0)], "iid string, y double"))
+    with pytest.raises(ValueError, match="two haplotypes"):
+        assoc.gwas(three, table, ["y"], ["i0"], assume_hwe=False)
+
+
+def test_containment_equals_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    carriers = {(b, f"v{i}"): frozenset(np.flatnonzero(rng.random(9) < p)) for b in "ab" for i, p in enumerate(rng.uniform(0.1, 0.9, 14))}
+    cells = spark.createDataFrame([(b, v, int(h)) for (b, v), hs in carriers.items() for h in hs], "block string, v string, hap_idx long")
+    got = {tuple(r) for r in graph.containment(cells).collect()}
+    want = {(b, v, w, len(s), len(t)) for (b, v), s in carriers.items() for (c, w), t in carriers.items() if b == c and v != w and s and s <= t}
+    assert got == want
+
+
 def test_leading_values_equal_dense(spark):
     x, _ = dense(4, 20, 8, flips=False)
     m = matrix(spark, x, np.zeros(8, bool))
     f = x.mean(0)
     z = (x - f) / np.sqrt(np.where(f * (1 - f) > 0, f * (1 - f), np.inf))
-    values, vectors = structure.pca(m, 2, steps=15)
+    values, vectors = structure.pca(m, 2)
     want = np.sort(np.linalg.eigvalsh(z @ z.T))[::-1][:2]
     assert np.allclose(values, want, rtol=1e-5)
     u = as_array(vectors, "hap_idx", ["u_0"])[:, 0]
@@ -186,6 +267,14 @@ def test_bed_is_half_open(spark):
     assert var.dual_threshold(v, None, 0.05).count() == 5
 
 
+def test_bed_regions_over_several_bins(spark):
+    v = spark.createDataFrame([(i, c, p, 0.3) for i, (c, p) in enumerate([("1", 5), ("1", 40_000), ("1", 99_999), ("1", 100_000), ("2", 40_000)])], "variant_idx long, chrom string, pos int, af double")
+    bed = spark.createDataFrame([("1", 10, 100_000), ("1", 30_000, 50_000), ("1", 7, 7)], "chrom string, chromStart bigint, chromEnd bigint")
+    assert {r.variant_idx for r in var.in_bed(v, bed).collect()} == {1, 2}
+    assert sorted(r.variant_idx for r in var.dual_threshold(v, bed, 0.4, 0.1).collect()) == [1, 2]
+    assert sorted(r.variant_idx for r in var.dual_threshold(v, bed, 0.1, 0.4).collect()) == [0, 3, 4]
+
+
 def test_frequency_filters_differ_at_the_threshold(spark):
     v = spark.createDataFrame([(1, 0.25), (2, 0.4), (3, 0.75)], "variant_idx long, af double")
     assert {r.variant_idx for r in var.maf_above(v, 0.25).collect()} == {2}

@@ -1,8 +1,11 @@
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
 from hapforge import cli
+from hapforge.operators import graph
+from hapforge.operators.variants import blocks_of
 from hapforge.plans import build
 from hapforge.sources import files, store
 
@@ -58,6 +61,25 @@ def test_tables(spark, tmp_path):
     assert [tuple(r) for r in files.read_sex(spark, str(tmp_path / "sex")).collect()] == [(0, 1), (1, 0), (2, 1)]
 
 
+def test_files_in_another_order_and_several_chromosomes(spark, tmp_path):
+    head = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t"
+    line = lambda c, p, i, *g: f"{c}\t{p}\t{i}\tA\tT\t.\t.\t.\tGT\t" + "\t".join(g) + "\n"
+    (tmp_path / "a.vcf").write_text(head + "s1\ts2\n" + line("1", 100, "a", "1|0", "0|0") + line("2", 100, "c", "0|0", "1|1"))
+    (tmp_path / "b.vcf").write_text(head + "s2\ts1\n" + line("1", 100, "a", "0|0", "1|0") + line("1", 120, "b", "1|1", "0|0"))
+    out = str(tmp_path / "w")
+    jobs = build.step0(spark, [("all", str(tmp_path / "a.vcf")), ("chr1", str(tmp_path / "b.vcf"))], out, size=1000, small=4)
+    assert {(r.chrom, r.large_job_id) for r in jobs.collect()} == {("1", 0), ("1", 1), ("2", 2)} and jobs.select("small_job_id").distinct().count() == jobs.count()
+    m = build.step1(spark, out)
+    dose = {(r.id, r.iid): r.dose for r in m.doses().join(m.variants, "variant_idx").collect()}
+    assert dose == {("a", "s1"): 1, ("b", "s2"): 2, ("c", "s2"): 2}
+    blocks = {(r.chrom, r.n_entries) for r in blocks_of(m.variants, m.calls).collect()}
+    assert {c for c, _ in blocks} == {"1", "2"} and sum(n for _, n in blocks) == 5
+    (tmp_path / "c.vcf").write_text(head + "s1\ts9\n" + line("1", 100, "a", "1|0", "0|0"))
+    build.step0(spark, [("1", str(tmp_path / "a.vcf")), ("1", str(tmp_path / "c.vcf"))], f"{out}2")
+    with pytest.raises(ValueError, match="doesn't have the samples"):
+        build.step1(spark, f"{out}2")
+
+
 def test_build_and_commands(spark, vcf, tmp_path):
     out = str(tmp_path / "s")
     assert cli.main(["compress", vcf, "--out", out, "--partition-size", "150"], spark) == 0
@@ -65,6 +87,11 @@ def test_build_and_commands(spark, vcf, tmp_path):
     assert len(stats) == 2 and all(r.correct_allele_counts for r in stats)
     assert counts(store.read_store(spark, out)) == {"a": 3, "b": 1, "c": 3, "d": 5, "e": 0}
     assert store.list_blocks(spark, out).count() == 2
+    assert [r.iid for r in store.list_iids(spark, out).collect()] == ["s1", "s2", "s3"]
+    g, m = store.read_graph(spark, out), store.read_store(spark, out)
+    b = g["reps"].select("block", "v", F.lit(1).cast("long").alias("x"))
+    got = {r.hap_idx: r.y for r in graph.graph_matvec(g["edges"], g["sample_edges"], g["reps"], b).where("y <> 0").collect()}
+    assert got == {r.hap_idx: r.n for r in m.calls.groupBy("hap_idx").agg(F.count(F.lit(1)).alias("n")).collect()}
     (tmp_path / "p.tsv").write_text("iid\ty\ns1\t1\ns2\t2\ns3\t4\n")
     assert cli.main(["assoc", out, str(tmp_path / "p.tsv"), "--out", str(tmp_path / "r")], spark) == 0
     got = spark.read.parquet(str(tmp_path / "r.parquet"))
