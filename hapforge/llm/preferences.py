@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hapforge.shared import materialize
+
 #: Fixed marks around a turn.
 HEAD, TAIL, END = "<|", "|>\n", "<|end|>\n"
 TRAINED = "assistant"
@@ -70,22 +72,26 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
     )
 
 
-def swap_last_answers(conversations: DataFrame) -> DataFrame:
-    """(conv_id, chosen, rejected) from (conv_id, turns): a conversation up to its last answer, and the same with the last answer of its neighbour.
+def exchange_answers(conversations: DataFrame) -> DataFrame:
+    """(conv_id, chosen, rejected) from (conv_id, turns): a conversation, and the same with another one's turns from some answer on.
 
-    Neighbours are identifiers that differ in the lowest bit. Without a neighbour that answers, the
-    rejected side ends before the answer; a conversation without any answer is empty on both sides.
+    The answer is the (conv_id mod answers)-th, so pairs part early and late. What follows in the
+    rejected side are the turns of the neighbour, whose identifier differs in the lowest bit, from its
+    own such answer to its end. Without a neighbour that answers, the rejected side ends before the
+    answer; a conversation without any answer is the same on both sides. No turn is left out: every
+    conversation is the chosen side of its row as it is.
     """
-    answers = F.filter(F.sequence(F.lit(1), F.greatest(F.size("turns"), F.lit(1))), lambda i: F.coalesce(F.get(F.col("turns"), i - 1).role == TRAINED, F.lit(False)))
-    cut = conversations.withColumn("last", F.coalesce(F.array_max(answers), F.lit(0)))
-    cut = cut.select("conv_id", F.slice("turns", F.lit(1), F.col("last")).alias("chosen"), "last")
-    other = cut.where("last > 0").select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("__id"), F.get(F.col("chosen"), F.col("last") - 1).alias("__answer"))
-    joined = cut.join(other, F.col("conv_id") == F.col("__id"), "left")
-    head = F.slice("chosen", F.lit(1), F.greatest(F.col("last") - 1, F.lit(0)))
-    swapped = F.when((F.col("last") > 0) & F.col("__answer").isNotNull(), F.concat(head, F.array("__answer"))).otherwise(head)
-    return joined.select("conv_id", "chosen", swapped.alias("rejected"))
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size("turns"), F.lit(1))), lambda i: F.coalesce(F.get(F.col("turns"), i - 1).role == TRAINED, F.lit(False)))
+    nth = F.coalesce(F.pmod(F.col("conv_id"), F.when(F.size("places") > 0, F.size("places"))), F.lit(0)).cast("int")
+    parted = conversations.withColumn("places", places).withColumn("at", F.get(F.col("places"), nth)).drop("places")
+    rest = F.slice("turns", F.col("at"), F.greatest(F.size("turns") - F.col("at") + 1, F.lit(0)))
+    other = parted.where("at IS NOT NULL").select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("__id"), rest.alias("__rest"))
+    joined = parted.join(other, F.col("conv_id") == F.col("__id"), "left")
+    head = F.slice("turns", F.lit(1), F.coalesce(F.col("at") - 1, F.size("turns")))
+    rejected = F.when(F.col("at").isNotNull() & F.col("__rest").isNotNull(), F.concat(head, "__rest")).otherwise(head)
+    return joined.select("conv_id", F.col("turns").alias("chosen"), rejected.alias("rejected"))
 
 
 def preference_rows(rows: DataFrame) -> DataFrame:
     """Pairs made from a table of turns, formatted."""
-    return format_pairs(swap_last_answers(turns_of(rows)))
+    return format_pairs(exchange_answers(materialize(turns_of(rows), "turns")))
