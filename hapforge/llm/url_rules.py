@@ -2,8 +2,10 @@
 
 A listed rule is a host and a path prefix; it fits that host and its subdomains, and the longest
 rule that fits decides. Every other url is judged by rules that FP-growth mines from labelled urls:
-combinations of url tokens that imply the bad label, pruned by support, confidence and redundancy (a
-rule goes if a part of it is at least as sure). They are matched through an inverted index from a
+combinations of url tokens, of any number, that go with the bad label. A rule needs a fixed number of
+bad urls, whatever the size of the table; a confidence of so many times the share of bad urls among
+all; and a lower bound of its confidence above that share, so that few urls don't make a rule by
+chance. A rule goes if a part of it is at least as sure. They are matched through an inverted index from a
 rule's rarest token, so a url looks at few rules.
 
 Defined results: a null url, and one without ``://``, has an empty host and path and fits no listed
@@ -21,12 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ALLOW, BLOCK = "allow", "block"
-#: Share of the labelled urls a rule's combination must occur in together with the bad label, and how sure it must be.
-SUPPORT, CONFIDENCE = 0.002, 0.6
-#: Fewest labelled urls, whatever their share.
-LEAST = 8
-#: Most tokens of a rule.
-TOKENS = 3
+#: Labelled bad urls that a rule's combination must occur in.
+SUPPORT = 8
+#: Times the share of bad urls that a rule's confidence must be, and standard errors by which it must exceed that share.
+LIFT, ERRORS = 2.0, 2.0
 BAD = "label=bad"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,30 +51,37 @@ def listed_rule(host: Column, path: Column, rules: Iterable[tuple[str, str]]) ->
 
 
 def tokens_of(url: Column) -> Column:
-    """Distinct tokens: labels of the host, segments of the path with digits folded, names in the query, and whether there is a fragment."""
+    """Distinct tokens: labels of the host and the words of those with hyphens, segments of the path with digits folded, names in the query, and whether there is a fragment."""
     host, path = host_of(url), path_of(url)
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\?([^#]*)", 1)
     tag = lambda kind, parts: F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.concat(F.lit(kind), p))
     segments = F.split(F.regexp_replace(F.lower(path), "[0-9]+", "0"), "/")
     names = F.transform(F.split(query, "&"), lambda p: F.substring_index(p, "=", 1))
-    words = F.split(F.regexp_replace(host, "[.]", "-"), "-")
+    words = F.flatten(F.transform(F.filter(F.split(host, "[.]"), lambda p: p.contains("-")), lambda p: F.split(p, "-")))
     return F.array_distinct(F.concat(tag("host=", F.split(host, "[.]")), tag("word=", words), tag("path=", segments), tag("query=", names)))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> list[tuple[frozenset[str], float]]:
-    """Rules (tokens, confidence) from (url, bad). What is collected is bounded by the support, not by the rows."""
+def lower_bound(share: Column, n: Column, errors: float) -> Column:
+    """Wilson's lower bound of a share seen in n rows."""
+    z = errors * errors
+    return (share + z / (2 * n) - errors * F.sqrt((share * (1 - share) + z / (4 * n)) / n)) / (1 + z / n)
+
+
+def mine(labelled: DataFrame, support: int = SUPPORT, lift: float = LIFT, errors: float = ERRORS) -> list[tuple[frozenset[str], float]]:
+    """Rules (tokens, confidence) from (url, bad). Only rules that pass all bounds are collected."""
     from pyspark.ml.fpm import FPGrowth
 
-    n = labelled.count()
-    if not n:
+    n, bad = labelled.agg(F.count(F.lit(1)), F.count_if("bad")).first()
+    if bad < support:
         return []
     items = labelled.select(F.concat(tokens_of(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    fp = FPGrowth(itemsCol="items", minSupport=max(support, least / n), minConfidence=confidence)
-    found = fp.fit(items).associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") <= TOKENS))
+    fp = FPGrowth(itemsCol="items", minSupport=(support - 0.5) / n, minConfidence=min(1.0, lift * bad / n))
+    sure = lower_bound(F.col("confidence"), F.round(F.col("support") * n / F.col("confidence")), errors)
+    found = fp.fit(items).associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (sure > bad / n))
     rules = [(frozenset(r["antecedent"]), r["confidence"]) for r in found.select("antecedent", "confidence").collect()]
-    sure = dict(rules)
+    known = dict(rules)
     part_of = lambda a: (a - {t} for t in a if len(a) > 1)
-    return sorted(((a, c) for a, c in rules if not any(sure.get(p, 0.0) >= c for p in part_of(a))), key=lambda r: (-r[1], sorted(r[0])))
+    return sorted(((a, c) for a, c in rules if not any(known.get(p, 0.0) >= c for p in part_of(a))), key=lambda r: (-r[1], sorted(r[0])))
 
 
 def inverted(rules: list[tuple[frozenset[str], float]]) -> dict[str, list[frozenset[str]]]:
@@ -95,10 +102,10 @@ def matches(tokens: Iterable[str], index: dict[str, list[frozenset[str]]]) -> bo
 
 
 def judge_urls(
-    pages: DataFrame, labelled: DataFrame, rules: Iterable[tuple[str, str]] = (), id_col: str = "page_id", url_col: str = "url", support: float = SUPPORT, confidence: float = CONFIDENCE
+    pages: DataFrame, labelled: DataFrame, rules: Iterable[tuple[str, str]] = (), id_col: str = "page_id", url_col: str = "url", support: int = SUPPORT, lift: float = LIFT, errors: float = ERRORS
 ) -> DataFrame:
     """page_id, host, path, rule, verdict of every url. ``labelled`` has url and bad (boolean)."""
-    index = inverted(mine(labelled.where("bad IS NOT NULL"), support, confidence))
+    index = inverted(mine(labelled.where("bad IS NOT NULL"), support, lift, errors))
     sent = pages.sparkSession.sparkContext.broadcast(index)
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), tokens_of(url).alias("tokens"))
