@@ -113,26 +113,39 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+_TURN_SQL = "'<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10)"
+
+
+def _completion_sql(turns: str) -> str:
+    """(conv_id, said, mask) of the turns after the prompt."""
+    return f"""(SELECT conv_id, string_agg({_TURN_SQL}, '' ORDER BY i) AS said,
+    string_agg(CASE WHEN role = 'assistant' THEN CAST(before + 5 + length(role) AS VARCHAR) || '-' || CAST(before + 13 + length(role) + length(text) AS VARCHAR) END, ',' ORDER BY i) AS mask
+  FROM (SELECT r.*, coalesce(SUM(13 + length(role) + length(text)) OVER (PARTITION BY r.conv_id ORDER BY r.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM {turns} r JOIN p USING (conv_id) WHERE r.i > p.shared) q GROUP BY conv_id)"""
+
+
 @_query(
     "op8_preferences",
-    """
+    f"""
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
-l AS (SELECT conv_id, coalesce(MAX(CASE WHEN role = 'assistant' THEN i END), 0) AS last FROM n GROUP BY conv_id),
-a AS (SELECT n.conv_id, n.role, n.text FROM n JOIN l ON n.conv_id = l.conv_id AND n.i = l.last),
-h AS (
-  SELECT l.conv_id, l.last, coalesce(string_agg('<|' || n.role || '|>' || chr(10) || n.text || '<|end|>' || chr(10), '' ORDER BY n.i), '') AS head
-  FROM l LEFT JOIN n ON n.conv_id = l.conv_id AND n.i < l.last GROUP BY l.conv_id, l.last),
-p AS (
-  SELECT h.conv_id, h.last, h.head, x.text AS own, y.text AS other, x.text IS NOT NULL AND y.text IS NOT NULL AND x.text = y.text AS same
-  FROM h LEFT JOIN a x ON x.conv_id = h.conv_id LEFT JOIN a y ON y.conv_id = xor(h.conv_id, 1))
-SELECT conv_id, CAST(CASE WHEN last = 0 THEN 0 WHEN same THEN last ELSE last - 1 END AS BIGINT) AS n_prompt_turns,
-  head || CASE WHEN same THEN '<|assistant|>' || chr(10) || own || '<|end|>' || chr(10) ELSE '' END AS prompt,
-  CASE WHEN own IS NULL OR same THEN '' ELSE '<|assistant|>' || chr(10) || own || '<|end|>' || chr(10) END AS chosen_completion,
-  CASE WHEN own IS NULL OR other IS NULL OR same THEN '' ELSE '<|assistant|>' || chr(10) || other || '<|end|>' || chr(10) END AS rejected_completion,
-  CASE WHEN own IS NULL OR same THEN '' ELSE '14-' || CAST(length(own) + 22 AS VARCHAR) END AS chosen_mask,
-  CASE WHEN own IS NULL OR other IS NULL OR same THEN '' ELSE '14-' || CAST(length(other) + 22 AS VARCHAR) END AS rejected_mask
+a AS (SELECT conv_id, i, row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1 AS nth, COUNT(*) OVER (PARTITION BY conv_id) AS answers FROM n WHERE role = 'assistant'),
+z AS (SELECT conv_id, MAX(i) AS last FROM n GROUP BY conv_id),
+c AS (SELECT z.conv_id, a.i IS NOT NULL AS parts, coalesce(a.i, z.last + 1) AS at FROM z LEFT JOIN a ON a.conv_id = z.conv_id AND a.nth = z.conv_id % a.answers),
+r AS (
+  SELECT n.conv_id, n.i, n.role, n.text FROM n JOIN c USING (conv_id) WHERE n.i < c.at
+  UNION ALL
+  SELECT c.conv_id, c.at + n.i - o.at, n.role, n.text FROM c JOIN c o ON o.conv_id = xor(c.conv_id, 1) JOIN n ON n.conv_id = o.conv_id AND n.i >= o.at WHERE c.parts AND o.parts),
+b AS (
+  SELECT coalesce(n.conv_id, r.conv_id) AS conv_id, coalesce(n.i, r.i) AS i, coalesce(n.role = r.role AND n.text = r.text, FALSE) AS same
+  FROM n FULL JOIN r ON n.conv_id = r.conv_id AND n.i = r.i),
+p AS (SELECT conv_id, coalesce(MIN(CASE WHEN NOT same THEN i END) - 1, MAX(i)) AS shared FROM b GROUP BY conv_id)
+SELECT p.conv_id, CAST(p.shared AS BIGINT) AS n_prompt_turns, coalesce(h.said, '') AS prompt, coalesce(x.said, '') AS chosen_completion, coalesce(y.said, '') AS rejected_completion,
+  coalesce(x.mask, '') AS chosen_mask, coalesce(y.mask, '') AS rejected_mask
 FROM p
+LEFT JOIN (SELECT n.conv_id, string_agg({_TURN_SQL}, '' ORDER BY i) AS said FROM n JOIN p USING (conv_id) WHERE n.i <= p.shared GROUP BY 1) h ON h.conv_id = p.conv_id
+LEFT JOIN {_completion_sql('n')} x ON x.conv_id = p.conv_id
+LEFT JOIN {_completion_sql('r')} y ON y.conv_id = p.conv_id
 """,
 )
 def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,6 +84,16 @@ def test_near_dup_chains_and_large_groups(spark):
     assert got == linked(texts, 3, 85)
 
 
+def test_bitmaps_never_differ_more_than_sets():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**63, 900).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, n)) for n in (1, 5, 60, 200, 700)] + [pool[:100], np.concatenate([pool[:90], pool[500:510]])]
+    bits = np.unpackbits(near_dup.parity_bitmaps(np.concatenate(sets), np.array([len(s) for s in sets])).view(np.uint8), axis=1)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert (bits[i] != bits[j]).sum() <= len(np.setxor1d(a, b)) and (i != j or (bits[i] == bits[j]).all())
+
+
 def test_bands_follow_the_threshold():
     for percent in (80, 85):
         b = near_dup.bands_for(percent)
@@ -342,7 +352,7 @@ def test_rules_are_mined_and_matched(spark):
     bad = [(f"http://m.cheap-pills{i % 4}.example.com/buy/{i}?ref=x", True) for i in range(60)]
     labelled = spark.createDataFrame(good + bad, "url string, bad boolean")
     rules = url_rules.mine(labelled)
-    assert rules and all(c >= url_rules.CONFIDENCE for _, c in rules)
+    assert rules and all(c >= url_rules.LIFT * 60 / 260 for _, c in rules)
     brute = lambda tokens: any(r <= set(tokens) for r, _ in rules)
     pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(good + bad)] + [(999, "http://new.example.com/buy/7?ref=q")], "page_id long, url string")
     tokens = {r.page_id: r.t for r in pages.select("page_id", url_rules.tokens_of(F.col("url")).alias("t")).collect()}
@@ -351,6 +361,19 @@ def test_rules_are_mined_and_matched(spark):
     assert got[0] == "allow" and got[210] == "block" and got[999] == "block"
 
 
+def test_mining_has_one_floor_at_every_size_and_no_limit_on_tokens(spark):
+    """Eight bad urls are enough among 40 and among 4,000; seven never are; and a rule may need four tokens."""
+    spread = [(f"https://h{i}.example.org/p{chr(97 + i % 26)}/", i % 10 == 0) for i in range(4000)]
+    for rest in (spread[:32], spread):
+        for n, found in ((8, True), (7, False)):
+            rules = url_rules.mine(spark.createDataFrame(rest + [("http://few.example.net/z/", True)] * n, "url string, bad boolean"))
+            assert any("host=few" in r for r, _ in rules) == found
+    parts = [(a, b, c, d) for a in "xy" for b in "xy" for c in "xy" for d in "xy"]
+    urls = [(f"http://a{a}.b{b}.c{c}.org/d{d}", (a + b + c + d) == "xxxx") for a, b, c, d in parts for _ in range(12)]
+    rules = url_rules.mine(spark.createDataFrame(urls, "url string, bad boolean"))
+    assert (frozenset(("host=ax", "host=bx", "host=cx", "path=dx")), 1.0) in rules
+
+
 def test_listed_rules_on_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r for r in queries.op2_url_filter(spark, SF).collect()}
@@ -376,6 +399,18 @@ def test_common_turns_end_at_the_first_difference(spark):
     assert spans == ["x<|end|>\n", "y<|end|>\n"] and got[2].chosen_completion == "" and got[4].chosen_completion == ""
 
 
+def test_no_turn_of_a_conversation_is_left_out(spark):
+    rows = [(0, 0, "user", "a"), (0, 1, "assistant", "b"), (0, 2, "user", "c"), (0, 3, "assistant", "d"), (0, 4, "user", "e"), (1, 0, "user", "a"), (1, 1, "assistant", "z"), (1, 2, "user", "y"), (2, 0, "user", "only"), (3, 0, "user", "u"), (3, 1, "assistant", "v" * 50_000)]
+    out = preferences.preference_rows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.conv_id: r for r in out.collect()}
+    for i in range(4):
+        whole = "".join(f"<|{r}|>\n{t}<|end|>\n" for c, _, r, t in rows if c == i)
+        assert got[i].prompt + got[i].chosen_completion == whole
+    assert [got[i].n_prompt_turns for i in range(4)] == [1, 1, 1, 1]
+    assert [got[0].chosen_completion[s:e] for s, e in got[0].chosen_mask] == ["b<|end|>\n", "d<|end|>\n"]
+    assert got[0].rejected_completion == "<|assistant|>\nz<|end|>\n<|user|>\ny<|end|>\n" and got[2].chosen_completion == got[2].rejected_completion == got[3].rejected_completion == ""
+
+
 # --- SQL and the pipeline ----------------------------------------------------------------------
 
 
