@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hapforge.shared import materialize, scratch_path
+from hapforge.shared import materialize, scratch_path, temporary
 
 #: Most rows of a key set that is broadcast (16 bytes a row as longs); larger sets are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -147,8 +147,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that exact deduplication keeps."""
-    keys = exact_dedup(docs, id_col, text_col).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    keys = materialize(keys.where("NOT kept OR n > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("kept").alias("__kept")), "dedup-keys")
+    with temporary(docs.sparkSession) as scratch:
+        keys = exact_dedup(docs, id_col, text_col).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+        keys = materialize(keys.where("NOT kept OR n > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("kept").alias("__kept")), "dedup-keys")
+        scratch.keep(keys)
     tagged = docs.withColumn("__digest", sha256_text(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha"))
     total, repeated = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("__kept").cast("long")), F.lit(0))).first()

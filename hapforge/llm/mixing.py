@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hapforge.shared import materialize
+from hapforge.shared import materialize, temporary
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents in a block, on average.
@@ -133,8 +133,10 @@ def draw(
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with every row as often as it is drawn, in the columns it came with."""
-    times = draw(docs, id_col, source_col, text_col, **how).groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("__times"))
-    times = materialize(times.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "__times"), "mix-times")
+    with temporary(docs.sparkSession) as scratch:
+        times = draw(docs, id_col, source_col, text_col, **how).groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("__times"))
+        times = materialize(times.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "__times"), "mix-times")
+        scratch.keep(times)
     same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source"))
     names = docs.columns
     return docs.join(times, same).select(*[F.col(f"`{c}`") for c in names], F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hapforge.shared import materialize
+from hapforge.shared import materialize, temporary
 
 SEQUENCE = 4096
 END_ID = 1
@@ -209,7 +209,9 @@ def ranked(pieces: DataFrame) -> tuple[DataFrame, list[tuple[int, int, int, int]
 def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     """``pieces`` with sequence_id and offset."""
     spark = pieces.sparkSession
-    written, runs = ranked(materialize(pieces, "cut"))  # the range sort reads its input twice
+    with temporary(spark) as scratch:
+        written, runs = ranked(materialize(pieces, "cut"))  # the range sort reads its input twice
+        scratch.keep(written)
     counts: dict[int, int] = {}
     shift: dict[tuple[int, int], int] = {}
     for part, length, first, n in runs:

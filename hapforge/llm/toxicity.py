@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from hapforge.llm.exact_dedup import sha256_text
 from hapforge.llm.labelled import calibrated, held_out, isotonic, training_ids
-from hapforge.shared import materialize
+from hapforge.shared import materialize, temporary
 
 #: Most labelled rows that are learned from, and most lexicon entries.
 TRAIN_ROWS, LEXICON = 30_000, 600
@@ -35,7 +35,9 @@ SUPPORT, LIFT = 6, 4.0
 STEMS = range(4, 9)
 TREES, DEPTH, RATE, BINS, LEAF = 120, 3, 0.12, 32, 12
 #: Words a worker remembers; then it starts anew.
-MEMO = 500_000
+MEMO = 100_000
+#: Rows of a batch that a worker takes up at once.
+SLICE = 512
 #: Words between a lexicon word and one of the second person.
 NEAR = 5
 #: Most digests of toxic texts that are broadcast; more are joined by shuffle.
@@ -210,7 +212,7 @@ def feature_rows(docs: DataFrame, entries: dict[str, float], id_col: str = "doc_
 
     def run(batches):
         lexicon = Lexicon(sent.value)
-        for batch in batches:
+        for batch in (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE)):
             flat = np.array([features(t, lexicon) for t in batch.column(1).to_pylist()], float).reshape(-1)
             offsets = pa.array((np.arange(batch.num_rows + 1) * len(FEATURES)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat)), *batch.columns[2:]], ["doc_id", "x", *batch.schema.names[2:]])
@@ -259,8 +261,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose text isn't scored as toxic. Texts decide, as a score depends on nothing else."""
-    bad = toxicity_scores(docs, labels, id_col, text_col, threshold=threshold, keyed=True).where("predicted = 1")
-    bad = materialize(bad.select(F.col("digest").alias("__bad")).distinct(), "toxic-texts")
+    with temporary(docs.sparkSession) as scratch:
+        bad = toxicity_scores(docs, labels, id_col, text_col, threshold=threshold, keyed=True).where("predicted = 1")
+        bad = materialize(bad.select(F.col("digest").alias("__bad")).distinct(), "toxic-texts")
+        scratch.keep(bad)
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
     tagged = docs.withColumn("__digest", sha256_text(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     return tagged.join(bad, F.col("__digest") == F.col("__bad"), "left_anti").drop("__digest")
