@@ -10,7 +10,7 @@ Everything is array functions on one row a pair; no Python runs on the executors
 Defined results: a null role or text counts as empty. Turns come in the order of their number (nulls
 first), role and text; equal rows are one turn. A null conversation identifier is one conversation.
 Conversations of one turn or none are pairs like any other: what is shared is prompt, what isn't is
-completion, and either may be empty. An empty table gives an empty result.
+completion, and either may be empty. One without an answer is all prompt. An empty table gives an empty result.
 """
 
 from __future__ import annotations

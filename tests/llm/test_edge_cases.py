@@ -119,7 +119,10 @@ def test_preferences(spark):
     assert got[0].prompt == "<|user|>\nq<|end|>\n" and got[0].chosen_completion == "<|assistant|>\na<|end|>\n" and got[0].rejected_completion == "<|assistant|>\nb<|end|>\n"
     start, end = got[0].chosen_mask[0]
     assert got[0].chosen_completion[start:end] == "a<|end|>\n"
-    assert got[2].prompt == "" and got[2].chosen_mask == [] and got[None].n_prompt_turns == 0 and got[4].rejected_completion == ""
+    # Without an answer the whole conversation is prompt; no turn is left out.
+    assert got[2].prompt == "<||>\n<|end|>\n" and got[2].chosen_mask == got[2].rejected_mask == [] and got[2].chosen_completion == ""
+    assert got[None].n_prompt_turns == 1 and got[None].prompt == "<|user|>\nx<|end|>\n"
+    assert got[4].prompt == got[4].rejected_completion == "" and got[4].chosen_completion == "<|assistant|>\nonly<|end|>\n"
     assert preferences.preference_rows(df.where("false")).count() == 0
 
 
