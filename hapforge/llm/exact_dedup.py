@@ -6,6 +6,8 @@ largest identifier with the locator of its row, and how many rows it has seen. D
 than once are *hits*; the full bytes of their rows are then compared by grouping on digest and text.
 Equal texts meet in map-side partial aggregates first, so a text that a third of all rows share is
 sent once per task. If one digest ever covers two texts, its rows are regrouped by the text itself.
+Decisions come back to the rows by a join on the digest, in which the rows of the few digests that
+hold a sizeable part of the table aren't shuffled: those digests are broadcast.
 
 Everything on the path is DataFrame code that runs in the JVM.
 
@@ -24,6 +26,8 @@ from hapforge.shared import materialize, scratch_path, temporary
 
 #: Most rows of a key set that is broadcast (16 bytes a row as longs); larger sets are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: A digest is hot if it has more than one in so many of all rows; fewer digests than this can be hot.
+HOT_KEYS = 10_000
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -128,6 +132,14 @@ def _by_text(docs: DataFrame, clashes: DataFrame, id_col: str, text_col: str, di
     )
 
 
+def _with_hits(rows: DataFrame, hits: DataFrame, total: int) -> DataFrame:
+    """``rows`` with the keeper and group size of their digest, null where it has one row."""
+    is_hot = F.col("group_size") * HOT_KEYS > total
+    hot = F.broadcast(hits.where(is_hot))  # group sizes add up to at most ``total``, so these are under HOT_KEYS rows
+    cold = rows.join(hot, "digest", "left_anti").join(hits.where(~is_hot), "digest", "left")
+    return rows.join(hot, "digest").unionByName(cold)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256_text, files_per_batch: int | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256. The largest identifier of equal texts stays."""
     digests = digest_rows(docs, id_col, text_col, digest)
@@ -135,7 +147,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     clashes = compare_bytes(docs, hits, id_col, text_col, digest)
     sha = "digest" if digest is sha256_text else "text_sha256"
     rest, hits = (digests, hits) if clashes is None else (digests.join(clashes, "digest", "left_anti"), hits.join(clashes, "digest", "left_anti"))
-    decided = rest.join(hits, "digest", "left").select(
+    decided = _with_hits(rest, hits, digests.count()).select(
         "doc_id",
         F.when(F.col("keeper").isNull(), F.col("doc_id")).otherwise(F.col("keeper.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),

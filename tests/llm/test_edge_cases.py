@@ -41,6 +41,20 @@ def test_exact_dedup(docs, none):
     assert exact_dedup.exact_dedup(none).count() == 0 and exact_dedup.keep_first_copies(none).count() == 0
 
 
+@pytest.mark.parametrize("hot_keys", [2, 5, exact_dedup.HOT_KEYS])
+def test_exact_dedup_hot_digests(spark, monkeypatch, hot_keys):
+    """60 rows of one text, 25 of a second, 2 of a third, 13 single ones; one, two or all three groups are hot."""
+    monkeypatch.setattr(exact_dedup, "HOT_KEYS", hot_keys)
+    texts = ["a"] * 60 + [None, ""] * 12 + [""] + ["c", "c"] + [f"single {i}" for i in range(13)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(df).collect()}
+    groups: dict[str, list[int]] = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(t or "", []).append(i)
+    assert got == {i: (max(g), len(g), i == max(g)) for g in groups.values() for i in g}
+    assert sorted(r.doc_id for r in exact_dedup.keep_first_copies(df).collect()) == sorted(map(max, groups.values()))
+
+
 def test_exact_dedup_compares_bytes(spark):
     """A digest that is far too short: texts must still be told apart."""
     rows = [(i, t) for i, t in enumerate(["aa", "bb", "aa", "cc", "bb", "dd", "aa"])] + [(2, "aa")]
