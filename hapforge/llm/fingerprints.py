@@ -3,14 +3,15 @@
 A text is folded (compatibility composition NFKC, full case folding, runs of white space to one
 space, ends trimmed) and hashed by several independently seeded 64-bit xxhash lanes. Documents whose
 lanes agree form a bucket; inside a bucket the folded texts themselves are compared, and if a bucket
-ever holds two of them, the fingerprints of all but the first (by byte order) carry a number.
+ever holds two of them, the fingerprints of all but the first (by byte order) carry a number. Where
+edited texts are fingerprinted too, they fall into the same buckets and are compared there likewise.
 
 The normaliser and the case folder are the ICU library that Spark ships, called through the SQL
 function ``reflect``; no Python runs on the executors.
 
 Defined results: a null text counts as empty, and the empty text has a fingerprint like any other.
 Rows with null identifiers come first in the order of documents; rows that share an identifier are
-ordered by their lanes. One document is its own successor. An empty table gives an empty result.
+ordered by a hash of their text, then by the text. One document is its own successor. An empty table gives an empty result.
 Only the identifier and text columns are read, so names of other columns can't clash.
 """
 
@@ -44,13 +45,18 @@ def _text(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
-def clashing_texts(docs: DataFrame, text_col: str = "text", hashed=lanes_of) -> DataFrame | None:
-    """Compare the folded texts of every bucket with several documents.
+def keyed_texts(docs: DataFrame, text_col: str = "text", hashed=lanes_of) -> DataFrame:
+    """(lanes, folded) of every row."""
+    return docs.select(fold(_text(text_col)).alias("folded")).select(hashed(F.col("folded")).alias("lanes"), "folded")
 
-    Returns (lanes, folded, number) of the buckets with more than one folded text, or None.
+
+def clashing_texts(keyed: DataFrame, lanes: DataFrame) -> DataFrame | None:
+    """Compare the folded texts of every bucket with several rows.
+
+    ``keyed`` holds (lanes, folded), ``lanes`` the lanes of the same rows from wherever they are cheapest
+    to read. Returns (lanes, folded, number) of the buckets with more than one folded text, or None.
     """
-    keyed = docs.select(fold(_text(text_col)).alias("folded")).withColumn("lanes", hashed(F.col("folded")))
-    buckets = materialize(keyed.groupBy("lanes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("lanes"), "buckets")
+    buckets = materialize(lanes.groupBy("lanes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("lanes"), "buckets")
     n = buckets.count()
     if not n:
         return None
@@ -80,7 +86,8 @@ def _numbered(df: DataFrame, clashes: DataFrame | None, lanes: str, folded: str,
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed=lanes_of) -> DataFrame:
     """(doc_id, fingerprint): equal exactly where the folded texts are equal."""
     rows = docs.select(F.col(id_col).alias("doc_id"), fold(_text(text_col)).alias("folded")).withColumn("lanes", hashed(F.col("folded")))
-    return _numbered(rows, clashing_texts(docs, text_col, hashed), "lanes", "folded", "fingerprint").select("doc_id", "fingerprint")
+    keyed = keyed_texts(docs, text_col, hashed)
+    return _numbered(rows, clashing_texts(keyed, keyed.select("lanes")), "lanes", "folded", "fingerprint").select("doc_id", "fingerprint")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -113,7 +120,7 @@ def with_successor(rows: DataFrame, carry: tuple[str, ...] = ("text",)) -> DataF
         rows = rows.select(*names, dealt.alias("at")).select(*names, "at.range", "at.guard")
     else:
         rows = rows.withColumn("guard", F.lit(False))
-    w = Window.partitionBy("range").orderBy("guard", "doc_id", F.xxhash64("text"))
+    w = Window.partitionBy("range").orderBy("guard", "doc_id", F.xxhash64("text"), "text")
     return rows.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry]).where("NOT guard").drop("range", "guard")
 
 
@@ -123,15 +130,29 @@ def half_edited(text: Column, next_text: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(next_text, F.lit(1), half))
 
 
-def edit_sensitivity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed=lanes_of) -> DataFrame:
-    """Per document: its fingerprint, that of its half-edited text, and how alike they and the successor's are."""
-    clashes = clashing_texts(docs, text_col, hashed)
+def edited_texts(docs: DataFrame, clashes: DataFrame | None, id_col: str, text_col: str, hashed) -> DataFrame:
+    """Per document its print and its successor's, and the digest, folded form and lanes of its half-edited text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text(text_col).alias("text"))
     rows = rows.withColumn("folded", fold(F.col("text"))).withColumn("lanes", hashed(F.col("folded")))
     rows = with_successor(_numbered(rows, clashes, "lanes", "folded", "print").drop("lanes"), ("text", "print"))
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "print", "next_print", half_edited(F.col("text"), F.col("next_text")).alias("edited"))
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256)).withColumn("folded", fold(F.col("edited"))).drop("edited")
-    rows = _numbered(rows.withColumn("lanes", hashed(F.col("folded"))), clashes, "lanes", "folded", "edited_print")
+    return rows.withColumn("lanes", hashed(F.col("folded")))
+
+
+def edit_sensitivity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed=lanes_of) -> DataFrame:
+    """Per document: its fingerprint, that of its half-edited text, and how alike they and the successor's are.
+
+    The folded edited texts are written once, beside their lanes, so that buckets are counted on narrow
+    columns and texts are read again only for shared buckets. Only if a bucket holds different texts are
+    the documents numbered, and their successors found, a second time.
+    """
+    rows = materialize(edited_texts(docs, None, id_col, text_col, hashed), "edited")
+    keyed = keyed_texts(docs, text_col, hashed).union(rows.select("lanes", "folded"))
+    clashes = clashing_texts(keyed, rows.select(F.col("print").alias("lanes")).union(rows.select("lanes")))
+    if clashes is not None:
+        rows = edited_texts(docs, clashes, id_col, text_col, hashed)
+    rows = _numbered(rows, clashes, "lanes", "folded", "edited_print")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", F.col("print").alias("fingerprint"), F.col("edited_print").alias("edited_fingerprint"),
         likeness(F.col("print"), F.col("edited_print")).alias("near_edited"), likeness(F.col("print"), F.col("next_print")).alias("near_next"),

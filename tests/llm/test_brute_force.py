@@ -191,6 +191,31 @@ def test_equal_lanes_are_told_apart_by_bytes(spark):
     assert got[1] == got[2] and got[3] == got[5] and len(set(got.values())) == 3
 
 
+@pytest.mark.parametrize("hashed", [fingerprints.lanes_of, lambda c: F.lit("same"), lambda c: (F.length(c) % 2).cast("string")])
+def test_edited_texts_are_told_apart_by_bytes(spark, hashed):
+    rows = ["abcd", "abxy", "abxy", "ABXY", "q", "", "  z  z", "cdzz", "abab", "ab"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    prints = {}
+    got = fingerprints.edit_sensitivity(df, hashed=hashed).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        t, n = rows[r.doc_id], rows[(r.doc_id + 1) % len(rows)]
+        edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        prints.setdefault(folded(t), set()).add(r.fingerprint)
+        prints.setdefault(folded(edited), set()).add(r.edited_fingerprint)
+        assert (r.near_edited == 1) == (folded(edited) == folded(t)) and (r.near_next == 1) == (folded(n) == folded(t))
+    assert all(len(p) == 1 for p in prints.values()) and len(set().union(*prints.values())) == len(prints)
+
+
+def test_rows_that_share_an_identifier_have_one_order(spark):
+    rows = [(1, "one"), (1, "two"), (1, None), (1, "two"), (None, "three"), (2, "four")]
+    results = set()
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        results.add(tuple(sorted((r.doc_id or 0, r.n_chars, r.edited_sha256, r.near_next) for r in fingerprints.edit_sensitivity(df).collect())))
+    assert len(results) == 1 and len(results.pop()) == len(rows)
+
+
 @pytest.mark.parametrize("a, b", [("ﬁne", "FINE"), ("Straße", "STRASSE"), ("é", "é"), ("a \n b", "A B"), ("ｆｕｌｌ", "full")])
 def test_folding(spark, a, b):
     df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
