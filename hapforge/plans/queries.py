@@ -750,8 +750,10 @@ def trio_cliques(spark, sf):
 @_query("recombination", f"WITH {_NESTED} SELECT block, CAST(hap_idx AS VARCHAR) AS child, v AS parent, CAST(1 AS BIGINT) AS shared FROM cells")
 def recombination(spark, sf):
     """Factored and expanded again: what every haplotype reaches must be what it carries, and no pair of neighbouring parents may be shared any more."""
-    cells = materialize(derive.nested(spark, sf), "nested")
-    edges = materialize(graph.factor_recombinations(cells.select("block", F.col("hap_idx").cast("string").alias("child"), F.col("v").alias("parent"))), "factored")
-    reach = graph.transitive_closure(edges)
-    reach = reach.where("child NOT LIKE '%~r%' AND parent NOT LIKE '%~r%'").join(edges.where("child LIKE '%~r%'").select("block", "child").distinct(), ["block", "child"], "left_anti")
-    return reach.join(graph.clique_sizes(edges).withColumnRenamed("size", "shared"), "block")
+    lists, variants = derive.nested_lists(spark, sf)
+    lists = materialize(lists, "lists")
+    factored = materialize(graph.factor_lists(lists.groupBy("block", "list").agg(F.count(F.lit(1)).alias("n"))), "factored")
+    shared = graph.shared_pairs(factored).withColumnRenamed("size", "shared")
+    reached = graph.expand_lists(factored, variants).join(F.broadcast(shared), "block", "left")
+    rows = graph.by_list(lists, reached)
+    return rows.select("block", F.col("hap_idx").cast("string").alias("child"), F.explode("parents").alias("parent"), F.coalesce("shared", F.lit(1).cast("long")).alias("shared"))
